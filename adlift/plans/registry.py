@@ -11,17 +11,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlift.operators import kpi, quality, rollups
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from adlift.operators import attribution as A
+from adlift.operators import journey, kpi, quality, rollups
 from adlift.sources.mapped import campaign_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def doubles(df: DataFrame) -> DataFrame:
+    """Registered outputs carry money as DOUBLE (DECIMAL sums stay internal)."""
+    return df.select([F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                      else F.col(f.name) for f in df.schema.fields])
+
+
 def _t(fn) -> Query:
     """Query over the four-table bundle."""
     return lambda spark, sf_dir: fn(campaign_tables(spark, sf_dir))
 
 
+def _p(fn) -> Query:
+    """Query over the attribution pair table."""
+    return lambda spark, sf_dir: fn(A.touchpoints(campaign_tables(spark, sf_dir)))
+
+
+def _pc(fn) -> Query:
+    """Query over the pair table and the campaign dimension."""
+    def run(spark, sf_dir):
+        t = campaign_tables(spark, sf_dir)
+        return fn(A.touchpoints(t), t.campaigns)
+    return run
+
+
 def _k(fn) -> Query:
     """Query over the campaign KPI table."""
     return lambda spark, sf_dir: fn(kpi.campaign_kpis(campaign_tables(spark, sf_dir)))
@@ -60,13 +83,32 @@ def queries() -> dict[str, Query]:
         "campaign_incremental": _t(rollups.campaign_incremental),
         "kill_list_simple_roi": _t(rollups.kill_list_simple_roi),
         "budget_by_simple_roi": _t(rollups.budget_by_simple_roi),
+        # D: attribution and journeys
+        "conversions": _t(A.conversions),
+        "touchpoints": _t(A.touchpoints),
+        "attr_last_touch": _p(A.last_touch),
+        "attr_last_touch_campaign": _pc(lambda p, c: A.last_touch_by_campaign(A.last_touch(p), c)),
+        "attr_last_touch_channel": _p(lambda p: A.last_touch_by_channel(A.last_touch(p))),
+        "attr_linear": _p(A.linear),
+        "attr_linear_campaign": _pc(lambda p, c: A.linear_by_campaign(A.linear(p), c)),
+        "attr_time_decay": _p(A.time_decay),
+        "attr_time_decay_campaign": _pc(lambda p, c: A.time_decay_by_campaign(A.time_decay(p), c)),
+        "attr_model_comparison": _p(lambda p: A.model_comparison(A.last_touch(p), A.linear(p), A.time_decay(p))),
+        "journey_touch_stats": _p(journey.touch_stats),
+        "journey_sequences": _p(journey.journey_sequences),
+        "attr_budget_shift": _p(lambda p: A.budget_shift(A.time_decay(p))),
+        "attr_last_touch_summary": _p(lambda p: A.last_touch_summary(A.last_touch(p))),
+        "attr_linear_summary": _p(A.linear_summary),
+        "attr_time_decay_summary": _p(A.time_decay_summary),
+        "touch_conversion_curve": _t(journey.touch_conversion_curve),
+        "channel_mix": _t(journey.channel_mix),
     }
-    return reg
+    return {k: (lambda f: lambda spark, sf_dir: doubles(f(spark, sf_dir)))(f) for k, f in reg.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from adlift.plans import oracle
     out: dict[str, str] = {}
-    for part in (oracle.B, oracle.E):
+    for part in (oracle.B, oracle.E, oracle.D):
         out.update(part)
     return out
