@@ -184,17 +184,24 @@ def t_quantile(p: float, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
-@pandas_udf("double")
-def t_two_sided_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else np.nan
-                      for a, b in zip(t, df)], dtype="float64")
+def t_two_sided_p_col(t, df) -> Column:
+    """Two-sided Student-t p-value as an Arrow UDF column (built lazily so the
+    module imports cleanly inside Python workers)."""
+
+    @pandas_udf("double")
+    def _p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else np.nan
+                          for a, b in zip(t, df)], dtype="float64")
+
+    return _p(t, df)
 
 
-def t_critical_udf(alpha: float):
+def t_critical_col(df, alpha: float) -> Column:
+    """Student-t critical value t_{1 - alpha/2, df} as an Arrow UDF column."""
     q = 1.0 - alpha / 2.0
 
     @pandas_udf("double")
     def _crit(df: pd.Series) -> pd.Series:
         return pd.Series([t_quantile(q, d) if pd.notna(d) else np.nan for d in df], dtype="float64")
 
-    return _crit
+    return _crit(df)

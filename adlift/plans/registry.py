@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from adlift.operators import attribution as A
-from adlift.operators import journey, kpi, quality, rollups
+from adlift.operators import abtest, budget, journey, kpi, quality, roi, rollups
 from adlift.sources.mapped import campaign_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,39 @@ def _k(fn) -> Query:
     return lambda spark, sf_dir: fn(kpi.campaign_kpis(campaign_tables(spark, sf_dir)))
 
 
+def _campaign_roi(t):
+    return roi.campaign_roi(t.exposures, t.outcomes)
+
+
+def _ab_conversion(t):
+    return abtest.ab_conversion(abtest.campaign_counts(t)).select(
+        "campaign_id", "treatment_n", "control_n", "treatment_conversions", "control_conversions", "treatment_rate",
+        "control_rate", "absolute_lift", "relative_lift", "z_score", "p_value", "statistically_significant",
+        "ci_lower", "ci_upper", "effective_alpha")
+
+
+def _ab_incremental_roi(t):
+    c = abtest.campaign_counts(t)
+    c = c.withColumn("incremental_revenue", abtest.incremental_revenue(
+        "treatment_revenue", "treatment_n", "control_revenue", "control_n"))
+    r = abtest.roi_columns("incremental_revenue", "total_cost")
+    return c.select("campaign_id", "incremental_revenue", *[v.alias(k) for k, v in r.items()])
+
+
+def _ab_min_sample_size(t, mde: float = 0.1):
+    c = abtest.campaign_counts(t).withColumn(
+        "baseline_rate", F.col("control_conversions").cast("double") / F.col("control_n"))
+    p = F.col("baseline_rate")
+    need = F.when((p > 0) & (p < 1), abtest.min_sample_size(p, mde)).cast("bigint")
+    return c.select("campaign_id", "baseline_rate", need.alias("required_n_per_arm"), "treatment_n", "control_n")
+
+
+def _ab_campaign_test(t):
+    facts = kpi.exposure_outcomes(t, "left")
+    cost = abtest.campaign_counts(t).select("campaign_id", "total_cost")
+    return abtest.ab_test(facts, cost=cost)
+
+
 def queries() -> dict[str, Query]:
     reg: dict[str, Query] = {
         # B: data quality
@@ -102,6 +135,25 @@ def queries() -> dict[str, Query]:
         "attr_time_decay_summary": _p(A.time_decay_summary),
         "touch_conversion_curve": _t(journey.touch_conversion_curve),
         "channel_mix": _t(journey.channel_mix),
+        # Python-path ROI frames
+        "campaign_roi": _t(_campaign_roi),
+        "channel_performance": _t(lambda t: roi.channel_performance(_campaign_roi(t))),
+        "allocate_budget": _t(lambda t: budget.allocate_budget(roi.channel_performance(_campaign_roi(t)),
+                                                              100000.0)),
+        "budget_reallocation": _t(lambda t: budget.budget_reallocation(roi.channel_performance(_campaign_roi(t)))),
+        "campaign_picks": _t(lambda t: roi.campaign_picks(_campaign_roi(t))),
+        "modeling_base": _t(roi.modeling_base),
+        # F: A/B statistics
+        "ab_conversion": _t(_ab_conversion),
+        "ab_revenue": _t(lambda t: abtest.ab_revenue(kpi.exposure_outcomes(t, "left"))),
+        "ab_incremental_roi": _t(_ab_incremental_roi),
+        "ab_min_sample_size": _t(_ab_min_sample_size),
+        "ab_bonferroni": _t(lambda t: abtest.bonferroni(abtest.ab_all_campaigns(t)).select(
+            "campaign_id", "p_value", "n_tests", "adjusted_alpha", "adjusted_p_value", "bonferroni_significant")),
+        "ab_verdicts": _t(abtest.ab_verdicts),
+        "ab_campaign_test": _t(_ab_campaign_test),
+        "ab_all_campaigns": _t(abtest.ab_all_campaigns),
+        "ab_summary": _t(lambda t: abtest.ab_summary(abtest.ab_all_campaigns(t))),
     }
     return {k: (lambda f: lambda spark, sf_dir: doubles(f(spark, sf_dir)))(f) for k, f in reg.items()}
 
@@ -109,6 +161,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from adlift.plans import oracle
     out: dict[str, str] = {}
-    for part in (oracle.B, oracle.E, oracle.D):
+    for part in (oracle.B, oracle.E, oracle.D, oracle.F_):
         out.update(part)
     return out
