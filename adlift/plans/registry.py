@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from adlift.operators import attribution as A
-from adlift.operators import abtest, budget, journey, kpi, quality, roi, rollups
+from adlift.operators import abtest, audience, budget, curves, features, journey, kpi, quality, roi, rollups
+from adlift.operators import response, report, uplift
 from adlift.sources.mapped import campaign_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,46 @@ def _ab_campaign_test(t):
     return abtest.ab_test(facts, cost=cost)
 
 
+def _split(t):
+    base = roi.modeling_base(t, treatment_only=True)
+    u = audience.int_hash_uniform(F.col("customer_id") * 1000
+                                  + F.substring("campaign_id", 6, 10).cast("bigint"), 42)
+    return features.stratified_split(base.select("customer_id", "campaign_id",
+                                                 F.col("converted").cast("double").alias("label")),
+                                     bucket=u).select("customer_id", "campaign_id", "label", "split")
+
+
+def _rule_scores(t):
+    return audience.rule_uplift_scores(roi.modeling_base(t))
+
+
+def _labelled(t):
+    s = _rule_scores(t).where(F.col("treatment_group") == 1)
+    return s.select(F.col("converted").alias("label"), F.col("treatment_prob").alias("score"))
+
+
+def _segmented(t):
+    return uplift.segment_customers(_rule_scores(t))
+
+
+def _audience_sample(t):
+    n = int(t.customers.count() * 0.2)
+    return audience.audience_sample(t.customers, n, seed=42).select("customer_id", "sample_key")
+
+
+def _uplift_models(t):
+    base = roi.modeling_base(t)
+    models = uplift.fit_uplift(base, folds=0)
+    return uplift.segment_customers(uplift.score_uplift(models, base)).select(
+        "customer_id", "campaign_id", "treatment_prob", "control_prob", "uplift_score", "segment")
+
+
+def _report(t):
+    r = roi.campaign_roi(t.exposures, t.outcomes)
+    comparison = uplift.compare_targeting(_rule_scores(t))
+    return report.executive_report(r, roi.channel_performance(r), comparison)
+
+
 def queries() -> dict[str, Query]:
     reg: dict[str, Query] = {
         # B: data quality
@@ -154,6 +195,36 @@ def queries() -> dict[str, Query]:
         "ab_campaign_test": _t(_ab_campaign_test),
         "ab_all_campaigns": _t(abtest.ab_all_campaigns),
         "ab_summary": _t(lambda t: abtest.ab_summary(abtest.ab_all_campaigns(t))),
+        # G: features, models, metrics, segments
+        "features": _t(lambda t: features.add_features(roi.modeling_base(t, treatment_only=True)).select(
+            "customer_id", "campaign_id", "spend_per_product", "high_value", "engagement_score")),
+        "training_frame": _t(lambda t: features.training_frame(roi.modeling_base(t, treatment_only=True))),
+        "stratified_split": _t(_split),
+        "response_model": _t(lambda t: response.fit_response(roi.modeling_base(t, treatment_only=True))[1]),
+        "feature_importance": _t(lambda t: response.feature_importance(
+            response.fit_response(roi.modeling_base(t, treatment_only=True), folds=0)[0])),
+        "uplift_models": _t(_uplift_models),
+        "roc_auc": _t(lambda t: curves.roc_auc(_labelled(t))),
+        "average_precision": _t(lambda t: curves.average_precision(_labelled(t))),
+        "roc_points": _t(lambda t: curves.roc_points(_labelled(t))),
+        "pr_points": _t(lambda t: curves.pr_points(_labelled(t))),
+        "uplift_segments": _t(lambda t: _segmented(t).select(
+            "customer_id", "campaign_id", "treatment_prob", "control_prob", "uplift_score", "segment",
+            "recommendation")),
+        "segment_distribution": _t(lambda t: uplift.segment_distribution(_segmented(t))),
+        "segment_summary": _t(lambda t: uplift.segment_summary(_segmented(t))),
+        "targeting_comparison": _t(lambda t: uplift.compare_targeting(_rule_scores(t))),
+        "uplift_histogram": _t(lambda t: curves.histogram(_rule_scores(t))),
+        # H: audience tools
+        "audience_sample": _t(_audience_sample),
+        "assign_arms": _t(lambda t: audience.assign_arms(t.exposures).select(
+            "customer_id", "campaign_id", "assigned_group")),
+        "rule_propensity": _t(lambda t: roi.modeling_base(t).select(
+            "customer_id", "campaign_id", audience.rule_propensity(None).alias("propensity"))),
+        "attach_contact_cost": _t(lambda t: audience.attach_contact_cost(t.exposures).select(
+            "customer_id", "campaign_id", "channel", "cost_per_contact")),
+        # Report lines
+        "executive_report": _t(_report),
     }
     return {k: (lambda f: lambda spark, sf_dir: doubles(f(spark, sf_dir)))(f) for k, f in reg.items()}
 
@@ -161,6 +232,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from adlift.plans import oracle
     out: dict[str, str] = {}
-    for part in (oracle.B, oracle.E, oracle.D, oracle.F_):
+    for part in (oracle.B, oracle.E, oracle.D, oracle.F_, oracle.G, oracle.H):
         out.update(part)
     return out
