@@ -124,10 +124,30 @@ def last_touch_by_channel(lt: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _journey_totals(pairs: DataFrame, half_life_days: float | None, keys=CUSTOMER) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("total_touches")]
-    if half_life_days is not None:
-        aggs.append(F.sum(_decay(half_life_days)).alias("total_weight"))
-    return pairs.groupBy(*keys).agg(*aggs)
+    """Touch count and decay-weight total per journey.
+
+    A plain ``sum`` of doubles depends on the order rows arrive in, so results
+    could flip at rounding boundaries between runs. For a whole-day half-life
+    h the weights depend only on (q, r) = divmod(days, h): pairs are first
+    counted per (journey, q, r) - at most h values of r per distinct q,
+    however many pairs a journey has - and those few terms are folded in
+    sorted order. Deterministic, and bounded per journey.
+    """
+    if half_life_days is None:
+        return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_touches"))
+    h = float(half_life_days)
+    if not (h.is_integer() and h >= 1):
+        return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_touches"),
+                                        F.sum(_decay(half_life_days)).alias("total_weight"))
+    hi = int(h)
+    days = F.datediff(F.col("conversion_date"), F.col("exposure_date"))
+    per = (pairs.groupBy(*keys, F.floor(days / F.lit(hi)).alias("_q"), F.pmod(days, F.lit(hi)).alias("_r"))
+           .agg(F.count(F.lit(1)).alias("_n")))
+    consts = F.array(*[F.lit(c) for c in decay_constants(hi)])
+    terms = F.array_sort(F.collect_list(F.struct("_q", "_r", "_n")))
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.element_at(consts, t["_r"] + 1)
+                        * F.pow(F.lit(2.0), -t["_q"]) * t["_n"])
+    return per.groupBy(*keys).agg(F.sum("_n").alias("total_touches"), total.alias("total_weight"))
 
 
 def _days(pairs_conv="conversion_date", pairs_exp="exposure_date"):

@@ -106,14 +106,16 @@ def compare_targeting(df: DataFrame, share: float = 0.3, mean_revenue: float | N
     with exact rank arithmetic (no global sort into one task)."""
     require_columns(df, ["treatment_prob", "uplift_score"], "targeting input")
     key = key or [k for k in ("customer_id", "campaign_id") if k in df.columns]
-    n_rows = df.count()
-    n = int(n_rows * share)
+    if mean_revenue is None and "revenue_generated" not in df.columns:
+        raise ValueError("mean_revenue must be supplied when revenue_generated is absent.")
+    # the scores are read several times below: checkpoint once (reliable, lineage cut)
+    cols = [*key, "treatment_prob", "uplift_score"] + [c for c in ("converted", "revenue_generated") if c in df.columns]
+    df = df.select(*cols).checkpoint(eager=True)
+    conv = F.col("converted") == 1 if "converted" in df.columns else F.lit(False)
+    rev = F.col("revenue_generated").cast("double") if "revenue_generated" in df.columns else F.lit(None)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(conv, rev)).alias("c"), F.avg(rev).alias("a")).first()
+    n = int(r["n"] * share)
     if mean_revenue is None:
-        if "revenue_generated" not in df.columns:
-            raise ValueError("mean_revenue must be supplied when revenue_generated is absent.")
-        conv = F.col("converted") == 1 if "converted" in df.columns else F.lit(False)
-        rev = F.col("revenue_generated").cast("double")
-        r = df.agg(F.avg(F.when(conv, rev)).alias("c"), F.avg(rev).alias("a")).first()
         mean_revenue = float(r["c"] if r["c"] is not None else r["a"])
     resp = top_n_rows(df, "treatment_prob", n, key).agg(F.sum("uplift_score").alias("_r"))
     upl = top_n_rows(df, "uplift_score", n, key).agg(F.sum("uplift_score").alias("_u"))

@@ -7,8 +7,9 @@ that bought forms one exposure; returned lines above a discount threshold form
 the conversion. Work and output grow with the input tables.
 
 Exposures and outcomes come from ONE aggregate over the joined lines grouped by
-(customer_id, campaign_id): both outputs share its shuffle (Spark reuses the
-exchange) and are already hash-partitioned on the J1 join keys.
+(customer_id, campaign_id), written once (the pipeline's load step) and read
+back as two projections. Left lazy, the two projections prune different
+columns, so Spark could not reuse the exchange and would derive it twice.
 """
 
 from __future__ import annotations
@@ -127,8 +128,8 @@ def engagements_from(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
                  .cast(MONEY).alias("revenue_generated")))
 
 
-def campaign_tables(spark: SparkSession, sf_dir: str) -> CampaignTables:
-    """Build the four campaign tables (lazy plans) from the driver tables at ``sf_dir``."""
+def derive_campaign_tables(spark: SparkSession, sf_dir: str) -> CampaignTables:
+    """The four campaign tables as lazy plans over the driver tables at ``sf_dir``."""
     read = lambda name: read_driver_table(spark, sf_dir, name)
     part = read("part")
     eng = engagements_from(read("lineitem"), read("orders"), part)
@@ -139,3 +140,44 @@ def campaign_tables(spark: SparkSession, sf_dir: str) -> CampaignTables:
                           "conversion_date", "revenue_generated")
     return CampaignTables(customers=customers_from(read("customer")), campaigns=campaigns_from(part),
                           exposures=exposures, outcomes=outcomes)
+
+
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def campaign_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> CampaignTables:
+    """The four campaign tables for ``sf_dir``.
+
+    With ``materialize`` (default) they are derived once per application and
+    written as parquet under the shared checkpoint folder (the "load" step of
+    the pipeline: a written table cuts lineage and survives executor loss);
+    later calls read those files. Otherwise the lazy derivation is returned.
+    """
+    if not materialize:
+        return derive_campaign_tables(spark, sf_dir)
+    import hashlib
+
+    from adlift.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    base = _MATERIALIZED.get(key)
+    if base is None:
+        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+        base = scratch_path(spark, f"campaign_tables/{key[0]}/{tag}")
+        t = derive_campaign_tables(spark, sf_dir)
+        # exposures and outcomes share one aggregate: write it once, project twice
+        eng = engagements_from(read_driver_table(spark, sf_dir, "lineitem"),
+                               read_driver_table(spark, sf_dir, "orders"),
+                               read_driver_table(spark, sf_dir, "part"))
+        eng.write.mode("overwrite").parquet(f"{base}/engagements")
+        t.customers.write.mode("overwrite").parquet(f"{base}/customers")
+        t.campaigns.write.mode("overwrite").parquet(f"{base}/campaigns")
+        _MATERIALIZED[key] = base
+    eng = spark.read.parquet(f"{base}/engagements")
+    channel = channel_of(F.col("m"))
+    return CampaignTables(
+        customers=spark.read.parquet(f"{base}/customers"),
+        campaigns=spark.read.parquet(f"{base}/campaigns"),
+        exposures=eng.select("customer_id", "campaign_id", channel.alias("channel"), "exposure_date",
+                             cost_of(channel).alias("cost_per_contact"), "treatment_group"),
+        outcomes=eng.select("customer_id", "campaign_id", "treatment_group", "converted", "conversion_date",
+                            "revenue_generated"))
