@@ -145,8 +145,10 @@ def _journey_totals(pairs: DataFrame, half_life_days: float | None, keys=CUSTOME
            .agg(F.count(F.lit(1)).alias("_n")))
     consts = F.array(*[F.lit(c) for c in decay_constants(hi)])
     terms = F.array_sort(F.collect_list(F.struct("_q", "_r", "_n")))
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.element_at(consts, t["_r"] + 1)
-                        * F.pow(F.lit(2.0), -t["_q"]) * t["_n"])
+    # each weight is added once per pair (as a pair-by-pair SUM does), in sorted order
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: F.aggregate(
+        F.sequence(F.lit(1), t["_n"].cast("int")), acc,
+        lambda a, _: a + F.element_at(consts, t["_r"] + 1) * F.pow(F.lit(2.0), -t["_q"])))
     return per.groupBy(*keys).agg(F.sum("_n").alias("total_touches"), total.alias("total_weight"))
 
 
