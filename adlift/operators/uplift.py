@@ -117,8 +117,11 @@ def compare_targeting(df: DataFrame, share: float = 0.3, mean_revenue: float | N
     n = int(r["n"] * share)
     if mean_revenue is None:
         mean_revenue = float(r["c"] if r["c"] is not None else r["a"])
-    resp = top_n_rows(df, "treatment_prob", n, key).agg(F.sum("uplift_score").alias("_r"))
-    upl = top_n_rows(df, "uplift_score", n, key).agg(F.sum("uplift_score").alias("_u"))
+    # decimal sums: order-independent, so equal target sets give exactly equal revenue
+    from pyspark.sql.types import DecimalType
+    exact = F.sum(F.col("uplift_score").cast(DecimalType(38, 18))).cast("double")
+    resp = top_n_rows(df, "treatment_prob", n, key).agg(exact.alias("_r"))
+    upl = top_n_rows(df, "uplift_score", n, key).agg(exact.alias("_u"))
     m = F.lit(float(mean_revenue))
     out = resp.crossJoin(upl).select(
         (F.coalesce(F.col("_r"), F.lit(0.0)) * m).alias("response_model_revenue"),
