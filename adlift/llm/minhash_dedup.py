@@ -8,8 +8,8 @@ bucketed. Links are found in two steps, so that no bucket lists its pairs:
 
 1. every member of a bucket is compared with the bucket's smallest node;
 2. only in buckets that still hold several components, members of different
-   components are compared by byte sketches, in blocks of bounded size, and
-   pairs that can reach the threshold are confirmed.
+   components are compared by bit maps of their sets, in blocks of bounded
+   size, and pairs that can reach the threshold are confirmed.
 
 Every link is confirmed on the two full sets.
 
@@ -86,7 +86,8 @@ def _setter(size: int):
     def make():
         def work(rows: dict) -> dict:
             sets = [shingle_set(word_hashes((t or "").encode().lower()), size) for t in rows["text"]]
-            return {"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+            return {"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets],
+                    "n": [len(s) for s in sets], "bits": [_bits(s) for s in sets]}
         return work
     return make
 
@@ -118,24 +119,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(full.select("a", "b", "s", "t"), "a binary, b binary", make)
 
 
-def _near(matches: int):
-    """Members of different components in one block pair whose sketches agree often enough."""
+def _bits(shingles: np.ndarray) -> bytes:
+    """The set as a bit map of 8 to 16 bits a shingle."""
+    size = 1 << max(6, (8 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _near(percent: int):
+    """Members of different components in one block pair whose sets can reach the threshold.
+
+    Every common shingle sets the same bit in both maps, so the common bits plus
+    the shingles that share a bit bound the size of the intersection from above.
+    """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def work(table: pa.Table) -> pa.Table:
-        node, root, side = (table.column(c).to_pylist() for c in ("node", "root", "side"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        node, root, side, n, raw = (table.column(c).to_pylist() for c in ("node", "root", "side", "n", "bits"))
         code = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        comp, side = np.array([code[r] for r in root]), np.array(side)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        comp, side, n = np.array([code[r] for r in root]), np.array(side), np.array(n)
+        size = np.array([len(x) // 8 for x in raw])
+        maps = {k: np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(size == k)), np.uint64).reshape(-1, k)
+                for k in set(size.tolist())}
         a, b = [], []
-        for i in left:
-            other = right[comp[right] != comp[i]]
-            for at in range(0, len(other), 4096):
-                part = other[at:at + 4096]
-                for j in part[(sketch[part] == sketch[i]).sum(axis=1) >= matches]:
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
+        for k, own in maps.items():
+            rows = np.flatnonzero(size == k)
+            other, maps_to = rows, own
+            if 2 * k in maps:
+                wide = maps[2 * k]
+                other = np.concatenate((rows, np.flatnonzero(size == 2 * k)))
+                maps_to = np.concatenate((own, wide[:, :k] | wide[:, k:]))
+            spare = n[other] - np.bitwise_count(maps_to).sum(axis=1)
+            step = max(1, (1 << 18) // k)
+            for at, i in enumerate(rows):
+                fits = (comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))
+                fits &= (side[other] != side[i]) | (side[i] == 2)
+                fits[:at + 1] = False
+                fits = np.flatnonzero(fits)
+                for lo in range(0, len(fits), step):
+                    part = fits[lo:lo + step]
+                    most = np.bitwise_count(maps_to[part] & own[at]).sum(axis=1) + np.minimum(spare[part], spare[at])
+                    for j in other[part[100 * most >= percent * (n[other[part]] + n[i] - most)]]:
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
         return pa.table([a, b], schema=schema)
     return work
 
@@ -179,7 +206,7 @@ def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    sets = map_rows(texts, "node binary, shingles binary", _setter(words))
+    sets = map_rows(texts, "node binary, shingles binary, n int, bits binary", _setter(words))
     sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = written(_confirmed(stars, sets, percent), "links")
@@ -190,11 +217,11 @@ def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     at = F.pmod(F.hash("node"), parts)
-    cells = placed.join(open_, "key").join(sketches, "node").select(
-        "key", "node", "root", "sketch", at.alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
-    cells = cells.select("key", "node", "root", "sketch", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"),
+    cells = placed.join(open_, "key").join(sets.select("node", "n", "bits"), "node").select(
+        "key", "node", "root", "n", "bits", at.alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    cells = cells.select("key", "node", "root", "n", "bits", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"),
                          F.when(F.col("at") == F.col("with"), 2).when(F.col("at") < F.col("with"), 0).otherwise(1).alias("side"))
-    late = cells.groupBy("key", "i", "j").applyInArrow(_near(matches), "a binary, b binary").distinct()
+    late = cells.groupBy("key", "i", "j").applyInArrow(_near(percent), "a binary, b binary").distinct()
     links = links.union(_confirmed(written(late, "late"), sets, percent))
     roots = components(links, "components")
 
