@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from adlift.llm.line_dedup import drop_repeated_lines
 from adlift.llm.minhash_dedup import minhash_groups
 
 
@@ -17,9 +19,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(_documents(spark, sf_dir), words=4, percent=80)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op5_line_dedup": op5_line_dedup,
     }
 
 
