@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlift.llm.html_text import extract_text
+from adlift.llm.language_id import learn, predict_language
 from adlift.llm.line_dedup import drop_repeated_lines
 from adlift.llm.minhash_dedup import minhash_groups
+from adlift.llm.quality_rules import quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +27,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    out = predict_language(docs, learn(docs.where(~held)))
+    return out.withColumn("held_out", held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
+        "op7_html_text": op7_html_text,
+        "op10_language_id": op10_language_id,
     }
 
 
