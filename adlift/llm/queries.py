@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlift.llm import oracle
+from adlift.llm.common import WORD, shared_dir
+from adlift.llm.embedding_dedup import embedding_groups
 from adlift.llm.html_text import extract_text
 from adlift.llm.language_id import learn, predict_language
 from adlift.llm.line_dedup import drop_repeated_lines
 from adlift.llm.minhash_dedup import minhash_groups
+from adlift.llm.mixing import mix_sources
 from adlift.llm.quality_rules import quality_rules
+from adlift.llm.token_counts import Ledger, count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +37,50 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: Production targets of the mixture; categories without one share a fifth in proportion to their tokens.
+TARGETS = {"source": {"src0": 0.15, "src1": 0.1}, "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15},
+           "topic": {"prose": 0.9, "note": 0.02}}
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_documents(spark, sf_dir), TARGETS)
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, delete the documents labelled bad, revise the toxic ones to words of two characters or more, move to a
+    second tokenizer version; the first two batches are committed again, which changes nothing."""
+    docs = _documents(spark, sf_dir)
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    words = count_tokens(docs).withColumn("old_tokens", F.lit(0))
+    kept = docs.join(marks.where("quality = 0"), "doc_id", "left_anti")
+    toxic = docs.join(marks.where("toxic = 1 and quality is distinct from 0"), "doc_id", "left_semi")
+    longer = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]{2,}")), F.lit(0)).cast("long")
+    revised = toxic.select(
+        "source", "lang", F.lit("words-1").alias("tokenizer"), longer.alias("n_tokens"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("old_tokens"))
+    batches = {
+        "load": words.withColumn("kind", F.lit("insert")),
+        "purge": count_tokens(docs.join(marks.where("quality = 0"), "doc_id", "left_semi")).withColumns(
+            {"kind": F.lit("delete"), "old_tokens": F.lit(0)}),
+        "revise": revised.withColumn("kind", F.lit("revise")),
+        "pieces": count_tokens(kept, version="pieces-2").withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(0)}),
+    }
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    for batch in [*batches, "load", "purge"]:
+        ledger.commit(batch, batches[batch])
+    return ledger.totals(list(batches))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
@@ -47,10 +93,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": op1_minhash,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_html_text": op7_html_text,
+        "op8_source_mix": op8_source_mix,
+        "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": oracle.LINE_DEDUP,
+        "op8_source_mix": oracle.source_mix(TARGETS),
+        "op9_token_counts": oracle.TOKEN_COUNTS,
+    }
