@@ -17,6 +17,7 @@ from adlift.llm.line_dedup import drop_repeated_lines
 from adlift.llm.minhash_dedup import minhash_groups
 from adlift.llm.mixing import mix_sources
 from adlift.llm.quality_rules import quality_rules
+from adlift.llm.recurrent_lm import score_documents
 from adlift.llm.token_counts import Ledger, count_tokens
 
 
@@ -33,6 +34,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    return score_documents(_documents(spark, sf_dir), learn)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -91,6 +97,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op3_recurrent_lm": op3_recurrent_lm,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
