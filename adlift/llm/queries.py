@@ -18,6 +18,7 @@ from adlift.llm.minhash_dedup import minhash_groups
 from adlift.llm.mixing import mix_sources
 from adlift.llm.quality_rules import quality_rules
 from adlift.llm.recurrent_lm import score_documents
+from adlift.llm.sentencepiece_lattice import encode, load_model
 from adlift.llm.token_counts import Ledger, count_tokens
 
 
@@ -34,6 +35,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_documents(spark, sf_dir), load_model(PIECES))
+
+
 def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
     return score_documents(_documents(spark, sf_dir), learn)
@@ -94,9 +102,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_recurrent_lm": op3_recurrent_lm,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
@@ -105,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 
