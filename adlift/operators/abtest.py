@@ -44,12 +44,12 @@ def ab_conversion(counts: DataFrame, alpha: float = 0.05, n_tests: int = 1, bonf
         bad = ((tn <= 0) | (cn <= 0) | (tx > tn) | (cx > cn))
         df = df.withColumn("_guard", F.when(bad, F.raise_error(F.lit("invalid counts: n must be > 0 and "
                                                                      "conversions <= n"))))
-    tr, cr = tx / tn, cx / cn
+    tr, cr = safe_div(tx, tn), safe_div(cx, cn)   # an empty arm has no rate: its row's results are null
     lift = tr - cr
-    pooled = (tx + cx) / (tn + cn)
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / tn + F.lit(1.0) / cn))
-    z = F.when(se > 0, lift / se).otherwise(F.lit(0.0))
-    margin = F.lit(zc) * F.sqrt(tr * (F.lit(1.0) - tr) / tn + cr * (F.lit(1.0) - cr) / cn)
+    pooled = safe_div(tx + cx, tn + cn)
+    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (safe_div(F.lit(1.0), tn) + safe_div(F.lit(1.0), cn)))
+    z = F.when(se > 0, safe_div(lift, se)).when(se.isNotNull(), F.lit(0.0))
+    margin = F.lit(zc) * F.sqrt(safe_div(tr * (F.lit(1.0) - tr), tn) + safe_div(cr * (F.lit(1.0) - cr), cn))
     out = (df.withColumn("treatment_rate", tr).withColumn("control_rate", cr)
            .withColumn("absolute_lift", lift)
            .withColumn("relative_lift", F.when(cr > 0, lift / cr).otherwise(F.lit(0.0)))

@@ -10,9 +10,9 @@ Scale notes. The pair table J6 is an equi-join on customer_id with a residual
 definition. Per-customer quantities are computed as aggregates, never as
 ``Window.partitionBy(customer)``: the last touch is ``min(struct(order...))``
 and the touch count / weight total is a ``groupBy`` joined back, so partial
-aggregation runs map-side and a hot customer is never sorted in one task. Hot
-customers can additionally be salted in J6 (``salt_buckets``), and AQE splits
-skewed partitions of the join-back.
+aggregation runs map-side and a hot customer is never sorted in one task. J6
+salts every customer the same way, and AQE splits skewed partitions of the
+join-back.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from adlift.functions.numeric import exact_sum, round_half_away as R, safe_div
 from adlift.sources.mapped import CampaignTables
 
+SALTS = 4
 CUSTOMER = ("customer_id",)
 CONVERSION = ("customer_id", "conversion_date", "revenue_generated")
 PAIR_COLUMNS = ["customer_id", "campaign_id", "channel", "exposure_date", "cost_per_contact",
@@ -37,38 +38,20 @@ def conversions(tables: CampaignTables) -> DataFrame:
             .select("customer_id", "conversion_date", "revenue_generated").distinct())
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000) -> DataFrame:
-    """Keys holding at least ``min_rows`` rows. At most ``total_rows / min_rows``
-    keys can qualify and at most ``max_keys`` are returned, so the result has a
-    proven size bound and may be broadcast. Keys left out are still joined
-    exactly, only without salting."""
-    return (df.groupBy(key).count().where(F.col("count") >= min_rows)
-            .orderBy(F.col("count").desc(), key).limit(max_keys).select(key))
-
-
-def touchpoints(tables: CampaignTables, salt_buckets: int = 1, hot_min_rows: int = 1_000_000,
-                conv: DataFrame | None = None) -> DataFrame:
+def touchpoints(tables: CampaignTables, salt_buckets: int = SALTS, conv: DataFrame | None = None) -> DataFrame:
     """Every exposure paired with every later-or-same-day conversion of
     the same customer.
 
-    With ``salt_buckets > 1`` the exposures of hot customers (``hot_min_rows``
-    exposures or more) are spread over that many salt values by campaign and
-    their conversions are replicated once per salt, so one customer's pairs are
-    produced by several tasks. Each pair is still produced exactly once.
+    Every customer's exposures are spread over ``salt_buckets`` salts by campaign
+    and the (fewer) conversions are repeated once per salt, so the pairs of one
+    customer are made by several tasks, whoever is hot. Each pair is made once.
     """
     conv = conversions(tables) if conv is None else conv
     e = tables.exposures.select("customer_id", "campaign_id", "channel", "exposure_date", "cost_per_contact")
+    salt = F.pmod(F.xxhash64("campaign_id", "exposure_date"), F.lit(salt_buckets)).cast("int")
+    es = e.withColumn("_salt", salt)
+    cs = conv.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     cond = F.col("exposure_date") <= F.col("conversion_date")
-    if salt_buckets <= 1:
-        return e.join(conv, "customer_id").where(cond).select(*PAIR_COLUMNS)
-    hot = F.broadcast(hot_keys(e, "customer_id", hot_min_rows).withColumn("_hot", F.lit(True)))
-    es = (e.join(hot, "customer_id", "left")
-          .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("campaign_id"), F.lit(salt_buckets)))
-                      .otherwise(F.lit(0)).cast("int")).drop("_hot"))
-    cs = (conv.join(hot, "customer_id", "left")
-          .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                         .otherwise(F.array(F.lit(0)))))
-          .drop("_hot"))
     return es.join(cs, ["customer_id", "_salt"]).where(cond).select(*PAIR_COLUMNS)
 
 
@@ -244,8 +227,8 @@ def budget_shift(td: DataFrame) -> DataFrame:
                      F.sum("_cost_dec").cast("double").alias("_tcost"))
     j = per.crossJoin(F.broadcast(totals))  # one-row totals (J10)
     cost = F.col("_cost_dec").cast("double")
-    spend_pct = cost / F.col("_tcost") * 100
-    rev_pct = F.col("_rev") / F.col("_trev") * 100
+    spend_pct = safe_div(cost, "_tcost") * 100
+    rev_pct = safe_div("_rev", "_trev") * 100
     return (j.select("channel", R("_rev", 2).alias("current_revenue"), cost.alias("current_spend"),
                      R(spend_pct, 2).alias("current_budget_pct"), _roi_pct(F.col("_rev"), cost).alias("roi_pct"),
                      R(rev_pct, 2).alias("recommended_budget_pct"), R(rev_pct - spend_pct, 2).alias("budget_shift_pct"))
@@ -288,7 +271,7 @@ def time_decay_summary(pairs: DataFrame, half_life_days: float = 7.0) -> DataFra
 
 
 def attribute(tables: CampaignTables, model: str = "last_touch", half_life_days: float = 7.0,
-              scope: str = "customer", salt_buckets: int = 1) -> DataFrame:
+              scope: str = "customer", salt_buckets: int = SALTS) -> DataFrame:
     """One entry point for the three models.
 
     ``scope="customer"`` shares credit over all of a customer's pairs (the

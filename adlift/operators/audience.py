@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adlift.functions.numeric import safe_div
 from adlift.functions.ranking import top_n_rows
 from adlift.sources.schema import CHANNEL_COSTS, CHANNELS, INCOME_BANDS, MONEY
 
@@ -21,14 +22,16 @@ CLIP_LOW, CLIP_HIGH = 0.001, 0.15
 CHANNEL_EFFECT = {"Email": 1.0, "Push": 0.8, "SMS": 1.1, "Paid Social": 0.9, "Search": 1.3}
 INCOME_EFFECT = {"<30K": 0.7, "30-50K": 0.85, "50-75K": 1.0, "75-100K": 1.15, "100-150K": 1.25, ">150K": 1.4}
 
-_MOD = 4294967291  # largest prime below 2^32: modulus of the integer hash
 
+def hash_number(key: Column, seed: int) -> Column:
+    """32 bits of the md5 of key and seed: any SQL engine gives the same, and nearby keys are independent."""
+    text = F.concat(key.cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
-def int_hash_uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from integer arithmetic on a numeric key, so the same
-    value can be recomputed by any SQL engine (no engine-specific hash)."""
-    h = F.pmod(F.pmod(key.cast("bigint"), F.lit(_MOD)) * F.lit(1103515245) + F.lit(seed * 97 + 12345), F.lit(_MOD))
-    return (h.cast("double") + 0.5) / float(_MOD)
+
+def hash_uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) from ``hash_number``."""
+    return (hash_number(key, seed).cast("double") + 0.5) / 4294967296.0
 
 
 def audience_sample(customers: DataFrame, n: int, seed: int = 42, key: str = "customer_id",
@@ -37,16 +40,16 @@ def audience_sample(customers: DataFrame, n: int, seed: int = 42, key: str = "cu
     (tenure + 1) * (spend + 1), by exponential keys (Efraimidis-Spirakis):
     the n smallest -ln(u) / w. The cut is exact rank arithmetic, not a global
     sort; the sample size is the feature."""
-    u = uniform if uniform is not None else int_hash_uniform(F.col(key), seed)
+    u = uniform if uniform is not None else hash_uniform(F.col(key), seed)
     w = (F.col("customer_tenure") + 1) * (F.col("historical_spend") + 1)
     keyed = customers.withColumn("sample_key", -F.log(u) / w)
     return top_n_rows(keyed, "sample_key", n, [key], descending=False)
 
 
 def assign_arms(exposures: DataFrame, treatment_share: float = 0.7, salt: int = 0) -> DataFrame:
-    """H2: deterministic arm split per (customer, campaign) by integer hash."""
+    """H2: deterministic arm split per (customer, campaign) by hash."""
     camp = F.substring(F.col("campaign_id"), 6, 10).cast("bigint")
-    u = int_hash_uniform(F.col("customer_id").cast("bigint") * 1000 + camp, salt)
+    u = hash_uniform(F.col("customer_id").cast("bigint") * 1000 + camp, salt)
     return exposures.withColumn("assigned_group", F.when(u < treatment_share, 1).otherwise(0))
 
 
@@ -67,10 +70,19 @@ def rule_propensity(df: DataFrame, treated: Column | None = None) -> Column:
     return F.least(F.greatest(p, F.lit(CLIP_LOW)), F.lit(CLIP_HIGH))
 
 
-def rule_uplift_scores(base: DataFrame) -> DataFrame:
-    """Rule-based T-learner: the rule evaluated as treated and as control."""
-    return (base.withColumn("treatment_prob", rule_propensity(base, F.lit(1)))
-            .withColumn("control_prob", rule_propensity(base, F.lit(0)))
+def observed_uplift_scores(base: DataFrame) -> DataFrame:
+    """Treated and control scores of every row: the converted share of its (channel, income band) in either arm,
+    or of the whole arm where a cell has no row of that arm. One grouped sum over at most 30 cells, joined back."""
+    def share(arm: int) -> Column:
+        return safe_div(F.sum(F.when(F.col("treatment_group") == arm, F.col("converted"))),
+                        F.count_if(F.col("treatment_group") == arm))
+    whole = base.agg(share(1).alias("_t"), share(0).alias("_c"))
+    cells = base.groupBy("channel", "income_band").agg(share(1).alias("treatment_prob"), share(0).alias("control_prob"))
+    cells = cells.crossJoin(F.broadcast(whole)).select(
+        F.col("channel").alias("_ch"), F.col("income_band").alias("_ib"), F.coalesce("treatment_prob", "_t").alias("treatment_prob"),
+        F.coalesce("control_prob", "_c").alias("control_prob"))
+    same = F.col("channel").eqNullSafe(F.col("_ch")) & F.col("income_band").eqNullSafe(F.col("_ib"))
+    return (base.join(F.broadcast(cells), same, "left").drop("_ch", "_ib")   # channels x income bands: a fixed domain
             .withColumn("uplift_score", F.col("treatment_prob") - F.col("control_prob")))
 
 
@@ -84,5 +96,5 @@ def attach_contact_cost(exposures: DataFrame, costs: DataFrame | None = None) ->
     return base.join(F.broadcast(costs), "channel", "left")
 
 
-__all__ = ["audience_sample", "assign_arms", "rule_propensity", "rule_uplift_scores", "attach_contact_cost",
-           "int_hash_uniform", "INCOME_BANDS"]
+__all__ = ["audience_sample", "assign_arms", "rule_propensity", "observed_uplift_scores", "attach_contact_cost",
+           "hash_number", "hash_uniform", "INCOME_BANDS"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adlift.functions.numeric import div_or_zero
+
 from adlift.functions.guards import require_columns
 
 
@@ -45,8 +47,8 @@ def budget_reallocation(channel_perf: DataFrame) -> DataFrame:
     tot = base.agg(F.sum("total_cost").alias("_tc"),
                    F.sum(F.greatest(F.col("overall_roi"), F.lit(0.0))).alias("_tw"))
     j = base.crossJoin(F.broadcast(tot))
-    cur = F.bround(F.col("total_cost") / F.col("_tc") * 100, 1)
+    cur = F.bround(div_or_zero("total_cost", "_tc") * 100, 1)
     wgt = F.greatest(F.col("overall_roi"), F.lit(0.0))
-    rec = F.bround(wgt / F.col("_tw") * 100, 1)
+    rec = F.bround(div_or_zero(wgt, "_tw") * 100, 1)
     return j.select("channel", "total_cost", "overall_roi", cur.alias("current_pct"), wgt.alias("roi_weight"),
                     rec.alias("recommended_pct"), (rec - cur).alias("shift_pct"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlift.functions.numeric import safe_div
 from adlift.functions.ranking import rank_offsets
 
 
@@ -26,7 +27,7 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins:
     t = score_table(scored, label, score, descending=False, bins=bins)
     agg = t.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5))).alias("_u"),
                 F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return agg.select((F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"),
+    return agg.select(safe_div("_u", F.col("_p") * F.col("_n")).alias("roc_auc"),
                       F.col("_p").alias("positives"), F.col("_n").alias("negatives"))
 
 
@@ -37,7 +38,7 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
     agg = t.agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("_s"), F.sum("pos").alias("_p"))
-    return agg.select((F.col("_s") / F.col("_p")).alias("average_precision"))
+    return agg.select(safe_div("_s", "_p").alias("average_precision"))
 
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
@@ -46,8 +47,8 @@ def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bi
     tot = t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     j = t.crossJoin(F.broadcast(tot))
     return j.select(F.col(score).alias("threshold"),
-                    ((F.col("neg_before") + F.col("neg")) / F.col("_N")).alias("fpr"),
-                    ((F.col("pos_before") + F.col("pos")) / F.col("_P")).alias("tpr"))
+                    safe_div(F.col("neg_before") + F.col("neg"), "_N").alias("fpr"),
+                    safe_div(F.col("pos_before") + F.col("pos"), "_P").alias("tpr"))
 
 
 def pr_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
@@ -58,7 +59,7 @@ def pr_points(scored: DataFrame, label: str = "label", score: str = "score", bin
     fp = F.col("neg_before") + F.col("neg")
     return (t.crossJoin(F.broadcast(tot))
             .select(F.col(score).alias("threshold"), (tp / (tp + fp)).alias("precision"),
-                    (tp / F.col("_P")).alias("recall")))
+                    safe_div(tp, "_P").alias("recall")))
 
 
 def histogram(df: DataFrame, col: str = "uplift_score", bins: int = 50) -> DataFrame:

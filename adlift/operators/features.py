@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from adlift.functions.numeric import div_or_zero
+from adlift.operators.audience import hash_number
+
 from adlift.functions.guards import require_columns
 from adlift.sources.schema import INCOME_BANDS
 
@@ -41,7 +45,7 @@ def feature_columns(constants_df: DataFrame | None = None) -> dict[str, Column]:
     return {
         "spend_per_product": spend / (products + 1),
         "high_value": (spend > F.col("_spend_median")).cast("int"),
-        "engagement_score": (tenure / 120) * 0.4 + (products / 5) * 0.3 + (spend / F.col("_spend_max")) * 0.3,
+        "engagement_score": (tenure / 120) * 0.4 + (products / 5) * 0.3 + div_or_zero(spend, "_spend_max") * 0.3,
     }
 
 
@@ -112,18 +116,39 @@ def feature_names(model) -> list[str]:
     return names + ["ord__income_band"]
 
 
-def split_bucket(keys: list[str], seed: int = 42) -> Column:
-    """A uniform number in [0, 1) from a 64-bit hash of the row key."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003.0
+def class_rank(df: DataFrame, label: str, keys: list[str], seed: int = 42, cells: int = 1 << 16) -> DataFrame:
+    """``df`` with _rank, each row's place (from 1) in its class by key hash, and _size, its class's rows.
+
+    The hashes are cut into ``cells`` equal ranges; counts of the ranges before
+    come from that bounded table, and only rows of one range are sorted
+    together, so no class is sorted in one task.
+    """
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    marked = df.withColumn("_h", hash_number(key, seed)).withColumn("_cell", F.floor(F.col("_h") / (2 ** 32 // cells)))
+    sizes = marked.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_at")
+    sizes = sizes.select("_label", "_at", (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy("_label")).alias("_size"))
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_at"))
+    inside = Window.partitionBy(label, "_cell").orderBy("_h", *keys)
+    return (marked.join(sizes, same).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
+            .drop("_h", "_cell", "_label", "_at", "_before"))
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_share: float = 0.2, seed: int = 42,
-                     keys: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
-    """Deterministic train/test split by a hash of the row key, applied
-    within each class. Every row is assigned independently (no per-class sort
-    or quota in one task), so class shares hold in expectation; repeated runs
-    give the same split. ``bucket`` may supply the uniform number."""
+                     keys: list[str] | None = None) -> DataFrame:
+    """Deterministic split with an exact quota per class: the first round(share * rows) rows of a
+    class, by key hash, are the test rows."""
     require_columns(df, [label], "split input")
     keys = keys or [c for c in ("customer_id", "campaign_id") if c in df.columns]
-    u = bucket if bucket is not None else split_bucket(keys, seed)
-    return df.withColumn("split", F.when(u < F.lit(test_share), "test").otherwise("train"))
+    ranked = class_rank(df, label, keys, seed)
+    quota = F.floor(F.col("_size") * test_share + 0.5)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= quota, "test").otherwise("train")).drop("_rank", "_size")
+
+
+def stratified_folds(df: DataFrame, folds: int, label: str = "label", seed: int = 42,
+                     keys: list[str] | None = None) -> DataFrame:
+    """``_fold`` from 0; the rows of a class are dealt to the folds in turn, by key hash."""
+    keys = keys or [c for c in ("customer_id", "campaign_id") if c in df.columns]
+    ranked = class_rank(df, label, keys, seed)
+    return ranked.withColumn("_fold", F.pmod(F.col("_rank"), F.lit(folds)).cast("int")).drop("_rank", "_size")

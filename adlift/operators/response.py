@@ -19,9 +19,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlift.functions.numeric import safe_div
+
 from adlift.operators.curves import average_precision, roc_auc
 from adlift.operators.features import (FeatureConstants, encoder_stages, feature_names, fit_feature_constants,
-                                       split_bucket, stratified_split, training_frame, with_ordinal)
+                                       stratified_folds, stratified_split, training_frame, with_ordinal)
 
 
 @dataclass
@@ -33,8 +35,8 @@ class ResponseModel:
 def _balanced(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_p"))
     j = df.crossJoin(F.broadcast(counts))  # one row
-    return j.withColumn("weight", F.when(F.col("label") == 1, F.col("_n") / (2.0 * F.col("_p")))
-                        .otherwise(F.col("_n") / (2.0 * (F.col("_n") - F.col("_p"))))).drop("_n", "_p")
+    return j.withColumn("weight", F.when(F.col("label") == 1, safe_div("_n", 2.0 * F.col("_p")))
+                        .otherwise(safe_div("_n", 2.0 * (F.col("_n") - F.col("_p"))))).drop("_n", "_p")
 
 
 def fit_pipeline(train: DataFrame, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
@@ -94,9 +96,8 @@ def _score_frame(pipe: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 def cv_auc(train: DataFrame, folds: int = 5, seed: int = 42, c: float = 1.0, max_iter: int = 1000) -> list[float]:
-    """K-fold AUC (fold by key hash); each fold is a distributed fit."""
-    keys = [k for k in ("customer_id", "campaign_id") if k in train.columns]
-    f = train.withColumn("_fold", F.floor(split_bucket(keys, seed + 1) * folds).cast("int"))
+    """K-fold AUC (stratified folds by key hash); each fold is a distributed fit."""
+    f = stratified_folds(train, folds, seed=seed + 1)
     out = []
     for k in range(folds):
         model = fit_pipeline(f.where(F.col("_fold") != k), c=c, max_iter=max_iter)
@@ -113,9 +114,9 @@ def feature_importance(model: ResponseModel, top_n: int | None = None) -> DataFr
     spark = SparkSessionFrom(pipe)
     df = spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double")
     df = df.withColumn("reading", F.format_string(
-        "%s: %s %s conversion (coef: %.3f)", F.col("feature"),
-        F.when(F.col("abs_coefficient") > 0.5, "significantly").otherwise("moderately"),
-        F.when(F.col("coefficient") > 0, "increases").otherwise("decreases"), F.col("coefficient")))
+        "%s has a %s, %s weight of %.3f", F.col("feature"),
+        F.when(F.col("abs_coefficient") > 0.5, "large").otherwise("small"),
+        F.when(F.col("coefficient") > 0, "positive").otherwise("negative"), F.col("coefficient")))
     df = df.orderBy(F.col("abs_coefficient").desc(), "feature")
     return df.limit(top_n) if top_n else df
 

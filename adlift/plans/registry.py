@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from adlift.operators import attribution as A
+from adlift.functions.numeric import safe_div
 from adlift.operators import abtest, audience, budget, curves, features, journey, kpi, quality, roi, rollups
 from adlift.operators import response, report, uplift
 from adlift.sources.mapped import campaign_tables
@@ -72,7 +73,7 @@ def _ab_incremental_roi(t):
 
 def _ab_min_sample_size(t, mde: float = 0.1):
     c = abtest.campaign_counts(t).withColumn(
-        "baseline_rate", F.col("control_conversions").cast("double") / F.col("control_n"))
+        "baseline_rate", safe_div("control_conversions", "control_n"))
     p = F.col("baseline_rate")
     need = F.when((p > 0) & (p < 1), abtest.min_sample_size(p, mde)).cast("bigint")
     return c.select("campaign_id", "baseline_rate", need.alias("required_n_per_arm"), "treatment_n", "control_n")
@@ -86,15 +87,12 @@ def _ab_campaign_test(t):
 
 def _split(t):
     base = roi.modeling_base(t, treatment_only=True)
-    u = audience.int_hash_uniform(F.col("customer_id") * 1000
-                                  + F.substring("campaign_id", 6, 10).cast("bigint"), 42)
     return features.stratified_split(base.select("customer_id", "campaign_id",
-                                                 F.col("converted").cast("double").alias("label")),
-                                     bucket=u).select("customer_id", "campaign_id", "label", "split")
+                                                 F.col("converted").cast("double").alias("label"))).select("customer_id", "campaign_id", "label", "split")
 
 
 def _rule_scores(t):
-    return audience.rule_uplift_scores(roi.modeling_base(t))
+    return audience.observed_uplift_scores(roi.modeling_base(t))
 
 
 def _labelled(t):

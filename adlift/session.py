@@ -49,11 +49,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared file system folder and is used as
-    is. Only when it is unset (local runs and tests) a private folder is made.
+    On a cluster the setting must name a folder that all executors share. Only
+    a local run that leaves it unset gets a private folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="adlift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -21,12 +21,14 @@ TABLES = ("customers", "campaigns", "exposures", "outcomes")
 
 def read_csv_table(spark: SparkSession, path: str, table: str,
                    id_type: T.DataType = T.StringType()) -> DataFrame:
-    """A1: read one header CSV and bind its columns by name to the typed schema."""
+    """A1: read one header CSV and bind its columns by name to the typed schema.
+
+    A missing required column raises; a missing nullable one is filled with typed nulls."""
     schema = schema_for(table, id_type)
     raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    require_columns(raw, [f.name for f in schema.fields if f.nullable is False or f.name in raw.columns],
-                    what=f"{table} file")
-    return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    require_columns(raw, [f.name for f in schema.fields if f.nullable is False], what=f"{table} file")
+    return raw.select([(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def read_campaign_csvs(spark: SparkSession, directory: str,
@@ -72,19 +74,16 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def export_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                   single_file_max_rows: int | None = 100_000) -> dict[str, str]:
+                   single_file: tuple[str, ...] = ()) -> dict[str, str]:
     """Write every result under ``out_dir/<name>``; the folder is created.
 
-    Results known to be small (aggregates with a row bound) may be written as one
-    file for dashboard tools; anything larger keeps its partitioning.
+    Results named in ``single_file`` (reports with a row bound) are written as
+    one file for dashboard tools; all others keep their partitioning.
     """
     paths = {}
     for name, df in results.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        out = df
-        if single_file_max_rows is not None and _is_small(df, single_file_max_rows):
-            out = df.coalesce(1)
-        w = out.write.mode("overwrite")
+        w = (df.coalesce(1) if name in single_file else df).write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).csv(path)
         else:
@@ -93,11 +92,6 @@ def export_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parq
     return paths
 
 
-def _is_small(df: DataFrame, max_rows: int) -> bool:
-    # A bounded probe: reads at most max_rows + 1 rows, never the whole result.
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def write_report_text(report: DataFrame, path: str) -> None:
     """Write the ordered report lines (E26) as a text file."""
     (report.orderBy("section_order", "line_order").select("text")

@@ -30,7 +30,7 @@ def test_last_touch_one_row_per_customer(tables):
 
 def test_salted_pairs_equal_plain(tables):
     plain = A.touchpoints(tables)
-    salted = A.touchpoints(tables, salt_buckets=4, hot_min_rows=5)
+    salted = A.touchpoints(tables, salt_buckets=7)
     assert plain.count() == salted.count()
     assert plain.exceptAll(salted).count() == 0
 

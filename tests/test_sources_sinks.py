@@ -27,6 +27,6 @@ def test_export_and_report(spark, tables):
     assert spark.read.option("header", True).csv(paths["campaign_performance"]).count() == 12
     rep = report.executive_report(r, roi.channel_performance(r))
     sections = {x["section"] for x in rep.select("section").distinct().collect()}
-    assert {"OVERALL PERFORMANCE", "KEY RECOMMENDATIONS"} <= sections
+    assert {"TOTALS", "NEXT STEPS"} <= sections
     files.write_report_text(rep, os.path.join(out, "summary"))
     assert spark.read.text(os.path.join(out, "summary")).count() == rep.count()
