@@ -13,8 +13,8 @@ where Spark measures the cells as small.
 
 Defined results: null source, language or topic is a category of its own
 (the empty name). Null text has no tokens and follows its cell. A null id is
-hashed as empty text. Categories without a target share ``rest`` in proportion
-to their tokens; targets of absent categories are dropped and the others scaled
+hashed as empty text. Categories without a target share what the named targets
+leave, 0.02 at least, in proportion to their tokens; targets of absent categories are dropped and the others scaled
 to a sum of 1. A cell without tokens has probability 1. Repeated rows share one decision.
 """
 
@@ -45,26 +45,30 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def _targets(cells: DataFrame, dim: str, wanted: dict[str, float], rest: float) -> DataFrame:
+def rest_share(wanted: dict[str, float]) -> float:
+    return max(0.02, 1.0 - sum(wanted.values()))
+
+
+def _targets(cells: DataFrame, dim: str, wanted: dict[str, float]) -> DataFrame:
     """(value, goal): the share of every present value, summing to 1."""
-    named = {k: v for k, v in wanted.items()}
+    rest = rest_share(wanted)
     tokens = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     goal = F.lit(None).cast("double")
-    for k, v in named.items():
+    for k, v in wanted.items():
         goal = F.when(F.col("value") == k, float(v)).otherwise(goal)
     tokens = tokens.withColumn("goal", goal)
     other = F.when(F.col("goal").isNull(), F.col("tokens"))
     whole = tokens.agg(F.sum(other).alias("others"), F.sum("goal").alias("given"))
     both = tokens.crossJoin(F.broadcast(whole))          # one row
-    goal = F.coalesce("goal", F.col("tokens") / F.col("others") * (rest if named else 1.0))
-    full = F.coalesce("given", F.lit(0.0)) + F.when(F.col("others").isNull(), 0.0).otherwise(rest if named else 1.0)
+    goal = F.coalesce("goal", F.col("tokens") / F.col("others") * rest)
+    full = F.coalesce("given", F.lit(0.0)) + F.when(F.col("others").isNull(), 0.0).otherwise(rest)
     return both.select("value", (goal / full).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], *, sweeps: int = 8, rest: float = 0.2) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], *, sweeps: int = 8) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: the raked share of all tokens of each cell."""
     cells = written(cells.where("tokens > 0"), "cells")
-    goals = {d: written(_targets(cells, d, targets.get(d, {}), rest), f"goal-{d}") for d in DIMS}
+    goals = {d: written(_targets(cells, d, targets.get(d, {})), f"goal-{d}") for d in DIMS}
     whole = cells.agg(F.sum("tokens").alias("whole"))
     now = cells.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("tokens") / F.col("whole")).drop("whole")
     for _ in range(sweeps):
@@ -78,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], *, sweeps: int
 
 def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, sweeps: int = 8,
-                rest: float = 0.2, seed: str = "mix", carry: bool = False) -> DataFrame:
+                seed: str = "mix", carry: bool = False) -> DataFrame:
     """Sampling probability and decision of every document.
 
     ``targets`` has shares for values of source, lang and topic; ``topic`` is a
@@ -94,7 +98,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, id_col
     topic = topic_rule(F.col("text"), F.col("tokens")) if topic is None else F.col("topic")
     rows = rows.withColumn("topic", name(topic)).drop("text")
     cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(cells, targets, sweeps=sweeps, rest=rest)
+    raked = rake(cells, targets, sweeps=sweeps)
     ratio = F.col("weight") / F.col("tokens")
     top = raked.agg(F.max(ratio).alias("top"))
     probability = raked.crossJoin(F.broadcast(top)).select(*DIMS, (ratio / F.col("top")).alias("probability"))

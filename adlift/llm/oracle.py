@@ -44,7 +44,7 @@ def _marks(mark: str) -> str:
     return f"(length(t) - length(replace(t, '{mark}', ''))) / {float(len(mark))}"
 
 
-def source_mix(targets: dict[str, dict[str, float]], sweeps: int = 8, rest: float = 0.2, seed: str = "mix") -> str:
+def source_mix(targets: dict[str, dict[str, float]], sweeps: int = 8, seed: str = "mix") -> str:
     symbols = " + ".join(_marks(3 * c) for c in "#$%&*")
     parts = [f"""rows_ AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
@@ -59,7 +59,7 @@ def source_mix(targets: dict[str, dict[str, float]], sweeps: int = 8, rest: floa
     for dim in ("source", "lang", "topic"):
         named = targets.get(dim, {})
         case = "CASE " + " ".join(f"WHEN v = '{k}' THEN {float(x)}" for k, x in named.items()) + " END" if named else "NULL"
-        share = rest if named else 1.0
+        share = max(0.02, 1.0 - sum(named.values()))
         parts.append(f"""g_{dim} AS MATERIALIZED (
   SELECT v, coalesce(goal, n / sum(n) FILTER (WHERE goal IS NULL) OVER () * {share})
             / (coalesce(sum(goal) OVER (), 0) + CASE WHEN count(*) FILTER (WHERE goal IS NULL) OVER () > 0 THEN {share} ELSE 0 END) AS goal

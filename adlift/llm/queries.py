@@ -59,9 +59,8 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-#: Production targets of the mixture; categories without one share a fifth in proportion to their tokens.
-TARGETS = {"source": {"src0": 0.15, "src1": 0.1}, "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15},
-           "topic": {"prose": 0.9, "note": 0.02}}
+#: Production targets of the mixture; categories without one share the rest in proportion to their tokens.
+TARGETS = {"source": {"src0": 0.25}, "lang": {"en": 0.57, "fr": 0.16, "de": 0.16, "es": 0.11}, "topic": {"prose": 0.95}}
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
