@@ -4,7 +4,10 @@ Documents are grouped into cells of source, language and topic. Raking scales
 the cells' token weights to one set of marginals after the other: sources,
 languages, topics, again and again. A document's sampling probability is its
 cell's factor, scaled so that the largest is 1; a hash of the document's id
-decides, so a rerun takes the same documents.
+decides, so a rerun takes the same documents. With a token budget the factors
+are scaled further, and cells that reach probability 1 are taken whole, until
+the expected tokens meet the budget: targets far from the corpus are then
+approached as far as the budget allows, and one scarce cell cannot shrink all others.
 
 The cells are few (one row a combination) and stay a DataFrame; each sweep is
 three grouped sums, checkpointed. Documents are scanned twice and shuffled once,
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from adlift.llm.common import WORD, written
 
 DIMS = ("source", "lang", "topic")
+#: Steps towards the budget's scale; it is approached from below and met once no further cell saturates.
+SCALE_STEPS = 6
 
 
 def topic_rule(text: Column, words: Column) -> Column:
@@ -80,12 +85,27 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], *, sweeps: int
     return now
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, id_col: str = "doc_id", text_col: str = "text",
+def budget_scale(cells: DataFrame, budget: float) -> float:
+    """Factor of the probabilities at which min(1, factor * probability) keeps ``budget`` of the tokens of cells."""
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    scale = 1.0
+    for _ in range(SCALE_STEPS):
+        full = F.col("probability") * scale >= 1
+        taken, open_ = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)),
+                                 F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("probability")))).first()
+        if not open_:
+            break
+        scale = max(scale, (budget * whole - taken) / open_)
+    return scale
+
+
+def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, sweeps: int = 8,
                 seed: str = "mix", carry: bool = False) -> DataFrame:
     """Sampling probability and decision of every document.
 
-    ``targets`` has shares for values of source, lang and topic; ``topic`` is a
+    ``targets`` has shares for values of source, lang and topic; ``budget`` is the
+    share of all tokens to keep (None: what the exact targets leave); ``topic`` is a
     column expression over ``docs`` (default: ``topic_rule`` of text and words).
     Returns doc_id, source, lang, topic, tokens, probability, kept; ``carry`` adds ``row``.
     """
@@ -101,6 +121,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, id_col
     raked = rake(cells, targets, sweeps=sweeps)
     ratio = F.col("weight") / F.col("tokens")
     top = raked.agg(F.max(ratio).alias("top"))
-    probability = raked.crossJoin(F.broadcast(top)).select(*DIMS, (ratio / F.col("top")).alias("probability"))
+    probability = raked.crossJoin(F.broadcast(top)).select(*DIMS, "tokens", (ratio / F.col("top")).alias("probability"))
+    scale = 1.0 if budget is None else budget_scale(probability, budget)
+    probability = probability.select(*DIMS, F.least(F.col("probability") * scale, F.lit(1.0)).alias("probability"))
     out = rows.join(probability, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.withColumn("kept", draw(F.col("doc_id"), seed) < F.col("probability"))

@@ -44,7 +44,7 @@ def _marks(mark: str) -> str:
     return f"(length(t) - length(replace(t, '{mark}', ''))) / {float(len(mark))}"
 
 
-def source_mix(targets: dict[str, dict[str, float]], sweeps: int = 8, seed: str = "mix") -> str:
+def source_mix(targets: dict[str, dict[str, float]], budget: float, sweeps: int = 8, steps: int = 6, seed: str = "mix") -> str:
     symbols = " + ".join(_marks(3 * c) for c in "#$%&*")
     parts = [f"""rows_ AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
@@ -72,7 +72,13 @@ def source_mix(targets: dict[str, dict[str, float]], sweeps: int = 8, seed: str
   SELECT source, lang, topic, tokens, weight * goal / sum(weight) OVER (PARTITION BY {dim}) AS weight
   FROM w{k} JOIN g_{dim} ON v = {dim})""")
             k += 1
-    parts.append(f"p AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM w{k})")
+    parts.append(f"q AS MATERIALIZED (SELECT source, lang, topic, tokens, weight / tokens / max(weight / tokens) OVER () AS p FROM w{k})")
+    parts.append("s0 AS MATERIALIZED (SELECT 1.0::DOUBLE AS s)")
+    for i in range(steps):
+        parts.append(f"""s{i + 1} AS MATERIALIZED (
+  SELECT coalesce(greatest(s, ({budget} * sum(tokens) - coalesce(sum(tokens) FILTER (WHERE p * s >= 1), 0))
+                              / sum(tokens * p) FILTER (WHERE p * s < 1)), s) AS s FROM q CROSS JOIN s{i} GROUP BY s)""")
+    parts.append(f"p AS (SELECT source, lang, topic, least(p * s, 1.0) AS p FROM q CROSS JOIN s{steps})")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 1.0), 6) AS probability,
        CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p, 1.0) AS kept

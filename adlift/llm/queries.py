@@ -61,10 +61,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Production targets of the mixture; categories without one share the rest in proportion to their tokens.
 TARGETS = {"source": {"src0": 0.25}, "lang": {"en": 0.57, "fr": 0.16, "de": 0.16, "es": 0.11}, "topic": {"prose": 0.95}}
+#: Share of all tokens that the mixture keeps.
+BUDGET = 0.75
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(_documents(spark, sf_dir), TARGETS)
+    out = mix_sources(_documents(spark, sf_dir), TARGETS, budget=BUDGET)
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
@@ -125,6 +127,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_dedup": oracle.LINE_DEDUP,
-        "op8_source_mix": oracle.source_mix(TARGETS),
+        "op8_source_mix": oracle.source_mix(TARGETS, BUDGET),
         "op9_token_counts": oracle.TOKEN_COUNTS,
     }

@@ -25,6 +25,19 @@ def test_sampled_tokens_follow_targets(spark):
     assert all(abs(v / sum(kept.values()) - 0.25) < 0.04 for v in kept.values())
 
 
+def test_budget_is_met_and_moves_towards_the_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    goals = {"source": {"src0": 0.5}, "lang": {"de": 0.4}}
+    out = mix_sources(docs, goals, budget=0.6).cache()
+    total, kept = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    assert abs(kept / total - 0.6) < 0.01
+    strict = mix_sources(docs, goals).agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    assert strict < 0.3 * total
+    for dim, value in (("source", "src0"), ("lang", "de")):
+        had, has = out.where(F.col(dim) == value).agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+        assert had / total < has / kept
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     got = mix_sources(df, {"source": {"s0": 0.5, "absent": 0.5}, "lang": {"en": 0.5}}, carry=True).collect()
@@ -33,3 +46,5 @@ def test_odd_rows(spark):
     assert all(r.row.score == "x" for r in got)
     assert {r.lang for r in got if r.doc_id == 2} == {""}
     assert mix_sources(df.limit(0), {"lang": {"en": 1.0}}).count() == 0
+    assert mix_sources(df.limit(0), {"lang": {"en": 1.0}}, budget=0.5).count() == 0
+    assert all(0 <= r.probability <= 1 for r in mix_sources(df, {"lang": {"en": 0.5}}, budget=0.9).collect())

@@ -33,7 +33,7 @@ def test_every_stage_does_the_whole_job(spark):
     groups = groups_expected([(i, r.text) for i, r in rows[2].items()], 5)
     assert set(rows[3]) == {i for i, g in groups.items() if g[2]}
     # mixture
-    want = {r.doc_id for r in mix_sources(seen[3], cp.TARGETS).collect() if r.kept}
+    want = {r.doc_id for r in mix_sources(seen[3], cp.TARGETS, budget=cp.BUDGET).collect() if r.kept}
     assert set(rows[4]) == want and 0.35 * len(rows[3]) < len(want) < len(rows[3])
     # pieces decode to the text
     back = {r.doc_id: r.text for r in decode(seen[5], load_model(cp.PIECES)).collect()}
