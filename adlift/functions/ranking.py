@@ -6,7 +6,8 @@ the work distributed:
 
 1. reduce to DISTINCT values with their row counts (partial aggregation, so a
    value held by a third of all rows is one row here);
-2. cut the value range into ``bins`` buckets at approximate quantiles (the
+2. cut the value range into ``bins`` buckets (by default as many as shuffle
+   partitions, 256 at least) at approximate quantiles (the
    split points are a bounded list of numbers) and bucket with ``Bucketizer``;
 3. prefix sums over the per-bucket totals (``bins`` rows) plus a windowed
    prefix sum inside each bucket give, for every distinct value, the exact
@@ -23,16 +24,17 @@ from pyspark.sql import functions as F
 def _splits(df: DataFrame, col: str, bins: int, rel_err: float) -> list[float]:
     probs = [i / bins for i in range(1, bins)]
     qs = df.approxQuantile(col, probs, rel_err) if bins > 1 else []
-    inner = sorted({float(q) for q in qs if q is not None})
+    inner = sorted({float(q) for q in qs if q is not None}) or [0.0]    # an empty table has no quantile
     return [float("-inf")] + inner + [float("inf")]
 
 
-def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int = 256,
+def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int | None = None,
                  sums: dict[str, Column] | None = None, rel_err: float = 1e-3) -> DataFrame:
     """Per distinct value of ``col``: ``n_at`` rows with that value and
     ``n_before`` rows strictly before it in the chosen order, plus optional
     per-value sums (``sums``) and their running totals ``<name>_before``."""
     sums = sums or {}
+    bins = bins or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(col).cast("double")
     keyed = df.where(F.col(col).isNotNull()).select(F.col(col), (-v if descending else v).alias("_k"),
                                                     *[c.alias(n) for n, c in sums.items()])
@@ -53,8 +55,26 @@ def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int =
     return out.select(col, *names, "n_before", *[f"{n}_before" for n in sums])
 
 
+def exact_medians(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """One row with the exact median of every column (alias by column in ``cols``),
+    null without values. A median aggregate keeps a counter per distinct value in
+    one task; here the two middle values come from the distributed ranks."""
+    out = None
+    for col, alias in cols.items():
+        offs = rank_offsets(df.select(F.col(col).cast("double").alias(col)), col)
+        n = offs.agg(F.sum("n_at").alias("_n"))     # one row
+        low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+
+        def at(p: Column) -> Column:
+            inside = (F.col("n_before") <= p) & (p < F.col("n_before") + F.col("n_at"))
+            return F.max(F.when(inside, F.col(col)))
+        one = offs.crossJoin(F.broadcast(n)).agg((at(low) * 0.5 + at(high) * 0.5).alias(alias))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
 def top_n_rows(df: DataFrame, col: str, n: int, key: list[str], descending: bool = True,
-               bins: int = 256) -> DataFrame:
+               bins: int | None = None) -> DataFrame:
     """Exactly the first ``n`` rows by ``col`` (ties broken by ``key``), without
     a global sort. Exactly one distinct value straddles the cut (a one-row,
     broadcastable frame): rows strictly before it are kept by a comparison, and

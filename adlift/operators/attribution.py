@@ -112,9 +112,9 @@ def _journey_totals(pairs: DataFrame, half_life_days: float | None, keys=CUSTOME
     A plain ``sum`` of doubles depends on the order rows arrive in, so results
     could flip at rounding boundaries between runs. For a whole-day half-life
     h the weights depend only on (q, r) = divmod(days, h): pairs are first
-    counted per (journey, q, r) - at most h values of r per distinct q,
-    however many pairs a journey has - and those few terms are folded in
-    sorted order. Deterministic, and bounded per journey.
+    counted per (journey, q, r), one term a distinct day however many pairs a
+    journey has, and count times weight is added in sorted order.
+    Deterministic, and bounded per journey by the days of history.
     """
     if half_life_days is None:
         return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_touches"))
@@ -128,10 +128,8 @@ def _journey_totals(pairs: DataFrame, half_life_days: float | None, keys=CUSTOME
            .agg(F.count(F.lit(1)).alias("_n")))
     consts = F.array(*[F.lit(c) for c in decay_constants(hi)])
     terms = F.array_sort(F.collect_list(F.struct("_q", "_r", "_n")))
-    # each weight is added once per pair (as a pair-by-pair SUM does), in sorted order
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: F.aggregate(
-        F.sequence(F.lit(1), t["_n"].cast("int")), acc,
-        lambda a, _: a + F.element_at(consts, t["_r"] + 1) * F.pow(F.lit(2.0), -t["_q"])))
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: (
+        acc + t["_n"].cast("double") * (F.element_at(consts, t["_r"] + 1) * F.pow(F.lit(2.0), -t["_q"]))))
     return per.groupBy(*keys).agg(F.sum("_n").alias("total_touches"), total.alias("total_weight"))
 
 
@@ -239,6 +237,11 @@ def budget_shift(td: DataFrame) -> DataFrame:
 # Workbook variants (unrounded credits summed, then rounded)
 # ---------------------------------------------------------------------------
 
+def _order_free(value):
+    """Sum of doubles in fixed point, so that arrival order cannot flip the later rounding."""
+    return F.sum(value.cast("decimal(38,15)")).cast("double")
+
+
 def last_touch_summary(lt: DataFrame) -> DataFrame:
     """Attributed conversions and revenue per (campaign, channel)."""
     return (lt.groupBy("campaign_id", "channel").agg(
@@ -253,8 +256,8 @@ def linear_summary(pairs: DataFrame) -> DataFrame:
     j = pairs.join(_journey_totals(pairs, None), "customer_id")
     return (j.groupBy("campaign_id", "channel").agg(
         F.countDistinct("customer_id").alias("customers_influenced"),
-        R(F.sum(F.lit(1.0) / n), 2).alias("conversions_attributed"),
-        R(F.sum(F.col("revenue_generated").cast("double") / n), 2).alias("revenue_attributed"))
+        R(_order_free(F.lit(1.0) / n), 2).alias("conversions_attributed"),
+        R(_order_free(F.col("revenue_generated").cast("double") / n), 2).alias("revenue_attributed"))
         .orderBy(F.col("revenue_attributed").desc_nulls_last(), "campaign_id"))
 
 
@@ -264,8 +267,8 @@ def time_decay_summary(pairs: DataFrame, half_life_days: float = 7.0) -> DataFra
     share = _decay(half_life_days) / F.col("total_weight")
     return (j.groupBy("campaign_id", "channel").agg(
         F.countDistinct("customer_id").alias("customers_influenced"),
-        R(F.sum(share), 2).alias("conversions_attributed"),
-        R(F.sum(share * F.col("revenue_generated").cast("double")), 2).alias("revenue_attributed"),
+        R(_order_free(share), 2).alias("conversions_attributed"),
+        R(_order_free(share * F.col("revenue_generated").cast("double")), 2).alias("revenue_attributed"),
         R(F.avg(F.datediff("conversion_date", "exposure_date")), 1).alias("avg_days_to_conversion"))
         .orderBy(F.col("revenue_attributed").desc_nulls_last(), "campaign_id"))
 

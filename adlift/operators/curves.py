@@ -14,7 +14,7 @@ from adlift.functions.ranking import rank_offsets
 
 
 def score_table(scored: DataFrame, label: str = "label", score: str = "score", descending: bool = True,
-                bins: int = 256) -> DataFrame:
+                bins: int | None = None) -> DataFrame:
     """Per distinct score: positives and negatives at it and strictly before it."""
     pos = (F.col(label) == 1).cast("long")
     offs = rank_offsets(scored, score, descending=descending, bins=bins,
@@ -22,7 +22,7 @@ def score_table(scored: DataFrame, label: str = "label", score: str = "score", d
     return offs.select(score, "pos", "neg", "pos_before", "neg_before")
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (rank-sum with tie-averaged ranks)."""
     t = score_table(scored, label, score, descending=False, bins=bins)
     agg = t.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5))).alias("_u"),
@@ -31,7 +31,7 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins:
                       F.col("_p").alias("positives"), F.col("_n").alias("negatives"))
 
 
-def average_precision(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
+def average_precision(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
     """Step-sum average precision, sum over thresholds of
     (recall step) x precision, thresholds in descending score order."""
     t = score_table(scored, label, score, descending=True, bins=bins)
@@ -41,7 +41,7 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     return agg.select(safe_div("_s", "_p").alias("average_precision"))
 
 
-def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
+def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, descending."""
     t = score_table(scored, label, score, descending=True, bins=bins)
     tot = t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -51,7 +51,7 @@ def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bi
                     safe_div(F.col("pos_before") + F.col("pos"), "_P").alias("tpr"))
 
 
-def pr_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int = 256) -> DataFrame:
+def pr_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
     """(threshold, precision, recall) for every distinct score, descending."""
     t = score_table(scored, label, score, descending=True, bins=bins)
     tot = t.agg(F.sum("pos").alias("_P"))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from adlift.functions.guards import require_columns
 from adlift.functions.numeric import div_or_zero
+from adlift.functions.ranking import exact_medians
 from adlift.operators.audience import hash_number
-
-from adlift.functions.guards import require_columns
 from adlift.sources.schema import INCOME_BANDS
 
 NUMERIC = ["age", "customer_tenure", "historical_spend", "product_count", "spend_per_product", "engagement_score"]
@@ -31,12 +31,14 @@ class FeatureConstants:
 
 
 def fit_feature_constants(df: DataFrame, approx: bool = False, accuracy: int = 100_000) -> FeatureConstants:
-    """Median and maximum of historical_spend in ONE aggregate (two numbers to
-    the driver). ``approx=True`` uses ``percentile_approx``; the exact median
-    keeps one counter per distinct value, fine up to millions of customers."""
-    med = (F.percentile_approx("historical_spend", 0.5, accuracy) if approx
-           else F.median("historical_spend"))
-    row = df.agg(med.alias("m"), F.max("historical_spend").alias("x")).first()
+    """Median and maximum of historical_spend (two numbers to the driver).
+    ``approx=True`` uses ``percentile_approx``; the exact median comes from
+    distributed ranks."""
+    top = df.agg(F.max("historical_spend").alias("x"))
+    if approx:
+        row = df.agg(F.percentile_approx("historical_spend", 0.5, accuracy).alias("m"), F.max("historical_spend").alias("x")).first()
+    else:
+        row = exact_medians(df, {"historical_spend": "m"}).crossJoin(top).first()
     return FeatureConstants(float(row["m"]), float(row["x"]))
 
 
@@ -58,8 +60,8 @@ def add_features(df: DataFrame, constants: FeatureConstants | None = None) -> Da
     """
     require_columns(df, ["historical_spend", "product_count", "customer_tenure"], "features input")
     if constants is None:
-        consts = df.agg(F.median("historical_spend").alias("_spend_median"),
-                        F.max("historical_spend").alias("_spend_max"))
+        consts = exact_medians(df, {"historical_spend": "_spend_median"}).crossJoin(
+            df.agg(F.max("historical_spend").alias("_spend_max")))
         base = df.crossJoin(F.broadcast(consts))  # one row
     else:
         base = df.withColumn("_spend_median", F.lit(constants.spend_median)) \

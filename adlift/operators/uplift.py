@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlift.functions.guards import require_columns
-from adlift.functions.ranking import top_n_rows
+from adlift.functions.ranking import exact_medians, top_n_rows
 from adlift.operators.response import ResponseModel, fit_response, score
 
 log = logging.getLogger(__name__)
@@ -67,11 +67,12 @@ def uplift_stats(scored: DataFrame) -> DataFrame:
 
 def segment_customers(df: DataFrame, approx: bool = False, accuracy: int = 100_000) -> DataFrame:
     """Quadrants by strict ``>`` against the median of each probability.
-    The medians are one two-value aggregate cross-joined in; ``approx`` uses
-    ``percentile_approx`` (bounded memory at any scale)."""
+    The exact medians come from distributed ranks, as one row; ``approx`` uses
+    ``percentile_approx``."""
     require_columns(df, ["treatment_prob", "control_prob"], "segment input")
-    med = ((lambda c: F.percentile_approx(c, 0.5, accuracy)) if approx else (lambda c: F.median(c)))
-    meds = df.agg(med("treatment_prob").alias("_tm"), med("control_prob").alias("_cm"))
+    names = {"treatment_prob": "_tm", "control_prob": "_cm"}
+    meds = (df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(a) for c, a in names.items()]) if approx
+            else exact_medians(df, names))
     j = df.crossJoin(F.broadcast(meds))
     hi_t, hi_c = F.col("treatment_prob") > F.col("_tm"), F.col("control_prob") > F.col("_cm")
     seg = (F.when(hi_t & ~hi_c, SEGMENTS[0]).when(hi_t & hi_c, SEGMENTS[1])

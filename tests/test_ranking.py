@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from adlift.functions.ranking import rank_offsets, top_n_rows
+from adlift.functions.ranking import exact_medians, rank_offsets, top_n_rows
 from adlift.operators import curves
 
 
@@ -42,3 +42,12 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.range(101).select((F.col("id") / 100.0).alias("uplift_score"))
     h = {r["bin"]: r["count"] for r in curves.histogram(df, bins=50).collect()}
     assert sum(h.values()) == 101 and max(h) == 50
+
+
+def test_exact_medians(spark):
+    for n in (1, 2, 7, 500, 2000):
+        rows, df = _data(spark, n)
+        import statistics
+        got = exact_medians(df.withColumn("gone", F.lit(None).cast("double")), {"score": "a", "id": "b", "gone": "c"}).first()
+        assert abs(got.a - statistics.median(s for _, s, _ in rows)) < 1e-12
+        assert got.b == statistics.median(i for i, _, _ in rows) and got.c is None
