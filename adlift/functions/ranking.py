@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def _splits(df: DataFrame, col: str, bins: int, rel_err: float) -> list[float]:
@@ -47,7 +48,9 @@ def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int |
     prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}")
                                     for n in names])
-    inside = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    # the value itself orders: large integers may share a double
+    order = F.col(col).desc() if descending else F.col(col).asc()
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = b.join(F.broadcast(offsets), "_b")
     for n in names:
         out = out.withColumn(f"{n}_before" if n != "n_at" else "n_before",
@@ -75,21 +78,35 @@ def exact_medians(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 
 def top_n_rows(df: DataFrame, col: str, n: int, key: list[str], descending: bool = True,
                bins: int | None = None) -> DataFrame:
-    """Exactly the first ``n`` rows by ``col`` (ties broken by ``key``), without
-    a global sort. Exactly one distinct value straddles the cut (a one-row,
-    broadcastable frame): rows strictly before it are kept by a comparison, and
-    only that value's rows are ordered by ``key`` to take the remainder."""
+    """Exactly the first ``n`` rows by ``col`` (ties go to the smaller ``key``), without
+    a global sort; rows without a value are left out. Exactly one distinct value
+    straddles the cut (two numbers come to the driver): rows before it are kept by a
+    comparison, and its own rows, which may be a large part of the table, are cut
+    by the next key column in the same way. ``df`` is read once a level."""
+    return _first_rows(df, F.col(col), n, [F.col(k) for k in key], descending, bins)
+
+
+def _first_rows(df: DataFrame, value: Column, n: int, key: list[Column], descending: bool,
+                bins: int | None = None) -> DataFrame:
     if n <= 0:
         return df.limit(0)
-    offs = rank_offsets(df, col, descending=descending, bins=bins)
+    offs = rank_offsets(df.select(value.alias("_v")), "_v", descending=descending, bins=bins)
     straddles = (F.col("n_before") < n) & (F.col("n_before") + F.col("n_at") >= n)
-    # a global aggregate: always exactly one row; _cut is null when n exceeds the row count
-    cut = offs.agg(F.max(F.when(straddles, F.col(col))).alias("_cut"),
-                   F.max(F.when(straddles, F.lit(n) - F.col("n_before"))).alias("_take"))
-    j = df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(cut))
-    before = F.col("_cut").isNull() | ((F.col(col) > F.col("_cut")) if descending else (F.col(col) < F.col("_cut")))
-    kept = j.where(before).drop("_cut", "_take")
-    tie_rank = F.row_number().over(Window.partitionBy(col).orderBy(*key))
-    partial = (j.where(F.col(col) == F.col("_cut")).withColumn("_r", tie_rank)
-               .where(F.col("_r") <= F.col("_take")).drop("_r", "_cut", "_take"))
-    return kept.unionByName(partial)
+    cut = offs.where(straddles).select("_v", (F.lit(n) - F.col("n_before")).alias("take"), "n_at").first()
+    if cut is None:
+        return df.where(value.isNotNull())
+    at = F.lit(cut["_v"])
+    if cut["take"] == cut["n_at"]:
+        return df.where(value >= at if descending else value <= at)
+    kept, ties = df.where(value > at if descending else value < at), df.where(value == at)
+    if key and _numeric(ties, key[0]):
+        part = _first_rows(ties, key[0], cut["take"], key[1:], descending=False, bins=bins)
+    else:   # names are left to order, among rows alike in all numeric keys
+        part = ties.orderBy(*key).limit(cut["take"])
+    return kept.unionByName(part)
+
+
+def _numeric(df: DataFrame, column: Column) -> bool:
+    """Whether ranks of the column are safe: a number, never null here."""
+    field = df.select(column.alias("_c")).schema["_c"]
+    return isinstance(field.dataType, NumericType) and df.where(column.isNull()).isEmpty()

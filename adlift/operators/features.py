@@ -72,14 +72,15 @@ def add_features(df: DataFrame, constants: FeatureConstants | None = None) -> Da
     return out.drop("_spend_median", "_spend_max")
 
 
-def training_frame(df: DataFrame, target: str = "converted", constants: FeatureConstants | None = None) -> DataFrame:
-    """The ten model inputs plus the target."""
+def training_frame(df: DataFrame, target: str = "converted", constants: FeatureConstants | None = None,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ten model inputs plus the target (and the columns ``keep``)."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in dataframe.")
     feats = add_features(df, constants)
     require_columns(feats, FEATURES, "feature frame")
     keys = [c for c in ("customer_id", "campaign_id") if c in df.columns]
-    return feats.select(*keys, *FEATURES, F.col(target).cast("double").alias("label"))
+    return feats.select(*keys, *FEATURES, F.col(target).cast("double").alias("label"), *keep)
 
 
 def income_ordinal(col: str = "income_band") -> Column:

@@ -65,6 +65,15 @@ def score(model: ResponseModel, df: DataFrame, refit_normalisers: bool = False)
     return out.select(*keys, "label", p.alias("score"), (p > 0.5).cast("int").alias("predicted"))
 
 
+def with_probability(model: ResponseModel, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with P(convert) of every row as column ``name``; no join, so rows and their number stay as they are."""
+    target = F.coalesce(F.col("converted"), F.lit(0)) if "converted" in df.columns else F.lit(0)
+    packed = df.withColumn("_row", F.struct(*df.columns)).withColumn("converted", target)
+    feats = with_ordinal(training_frame(packed, constants=model.constants, keep=("_row",)))
+    p = vector_to_array(F.col("probability")).getItem(1)
+    return model.pipeline.transform(feats).select("_row.*", p.alias(name))
+
+
 def fit_response(df: DataFrame, test_share: float = 0.2, seed: int = 42, folds: int = 5,
                  c: float = 1.0, max_iter: int = 1000) -> tuple[ResponseModel, DataFrame]:
     """G5 + G7 + G8 + G9: fit on the training part, evaluate on the test part,

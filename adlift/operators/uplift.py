@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adlift.functions.guards import require_columns
 from adlift.functions.ranking import exact_medians, top_n_rows
-from adlift.operators.response import ResponseModel, fit_response, score
+from adlift.operators.response import ResponseModel, fit_response, with_probability
 
 log = logging.getLogger(__name__)
 
@@ -53,14 +53,12 @@ def fit_uplift(df: DataFrame, seed: int = 42, folds: int = 5, max_iter: int = 10
 
 def score_uplift(models: UpliftModels, df: DataFrame) -> DataFrame:
     """Both probabilities and their difference for every row."""
-    keys = ["customer_id", "campaign_id"]
-    tp = score(models.treatment, df).select(*keys, F.col("score").alias("treatment_prob"))
-    cp = score(models.control, df).select(*keys, F.col("score").alias("control_prob"))
-    return (df.join(tp, keys).join(cp, keys)
-            .withColumn("uplift_score", F.col("treatment_prob") - F.col("control_prob")))
+    both = with_probability(models.control, with_probability(models.treatment, df, "treatment_prob"), "control_prob")
+    return both.withColumn("uplift_score", F.col("treatment_prob") - F.col("control_prob"))
 
 
 def uplift_stats(scored: DataFrame) -> DataFrame:
+    """Mean uplift and the share of rows above zero, in percent."""
     return scored.agg(F.avg("uplift_score").alias("mean_uplift"),
                       (F.avg((F.col("uplift_score") > 0).cast("double")) * 100).alias("positive_pct"))
 

@@ -116,6 +116,10 @@ def _uplift_models(t):
         "customer_id", "campaign_id", "treatment_prob", "control_prob", "uplift_score", "segment")
 
 
+def _uplift_model_metrics(t):
+    return uplift.fit_uplift(roi.modeling_base(t)).metrics
+
+
 def _report(t):
     r = roi.campaign_roi(t.exposures, t.outcomes)
     comparison = uplift.compare_targeting(_rule_scores(t))
@@ -202,6 +206,8 @@ def queries() -> dict[str, Query]:
         "feature_importance": _t(lambda t: response.feature_importance(
             response.fit_response(roi.modeling_base(t, treatment_only=True), folds=0)[0])),
         "uplift_models": _t(_uplift_models),
+        "uplift_model_metrics": _t(_uplift_model_metrics),
+        "uplift_stats": _t(lambda t: uplift.uplift_stats(_rule_scores(t))),
         "roc_auc": _t(lambda t: curves.roc_auc(_labelled(t))),
         "average_precision": _t(lambda t: curves.average_precision(_labelled(t))),
         "roc_points": _t(lambda t: curves.roc_points(_labelled(t))),

@@ -30,19 +30,19 @@ def arm_counts(events: DataFrame, window: str = "1 day", watermark: str = "2 day
 
 def start_ab_monitor(events: DataFrame, sink_path: str, checkpoint: str, window: str = "1 day",
                      watermark: str = "2 days", alpha: float = 0.05, trigger: str = "1 minute"):
-    """Start the query; each micro-batch appends tested windows to ``sink_path``
-    (parquet). ``checkpoint`` must be a shared folder so the query restarts
+    """Start the query; each micro-batch writes its updated windows to a folder of
+    its own, ``sink_path/batch_id=N`` (parquet), and a batch run again after a
+    failure replaces that folder. A window's latest batch holds its state. ``checkpoint`` must be a shared folder so the query restarts
     where it stopped after a failure."""
     counts = arm_counts(events, window, watermark)
 
     def test_batch(batch: DataFrame, batch_id: int) -> None:
         tested = ab_verdict(ab_conversion(batch.where((F.col("treatment_n") > 0) & (F.col("control_n") > 0)),
                                           alpha=alpha))
-        (tested.withColumn("batch_id", F.lit(batch_id))
-         .select("campaign_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                 "treatment_n", "control_n", "treatment_rate", "control_rate", "relative_lift", "p_value",
-                 "statistically_significant", "recommendation", "batch_id")
-         .write.mode("append").parquet(sink_path))
+        (tested.select("campaign_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                        "treatment_n", "control_n", "treatment_rate", "control_rate", "relative_lift", "p_value",
+                 "statistically_significant", "recommendation")
+         .write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}"))
 
     return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(test_batch).trigger(processingTime=trigger).start())
