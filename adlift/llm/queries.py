@@ -39,7 +39,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(_documents(spark, sf_dir), load_model(PIECES))
+    return encode(_documents(spark, sf_dir), load_model(PIECES), order="merge")
 
 
 def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
