@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlift.llm.common import components, map_rows, mix, shingle_set, small_batches, word_hashes, written
@@ -56,6 +56,10 @@ def _node(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
 def _signer(size: int):
     def make():
         scatter, shifted = _tables()
@@ -63,6 +67,8 @@ def _signer(size: int):
 
         def work(rows: dict) -> dict:
             out: dict[str, list] = {"doc_id": rows["doc_id"], "n": [], "node": [], "bands": [], "sketch": []}
+            if "digest" in rows:
+                out["digest"] = rows["digest"]
             for text in rows["text"]:
                 shingles = shingle_set(word_hashes((text or "").encode().lower()), size)
                 out["n"].append(len(shingles))
@@ -168,15 +174,18 @@ def _near(percent: int):
 
 
 def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                   percent: int = 80) -> DataFrame:
+                   percent: int = 80, by_text: bool = False) -> DataFrame:
     """Group documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` / 100.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id
-    reachable by links, itself included), kept (doc_id = component_id).
+    reachable by links, itself included), kept (doc_id = component_id). ``by_text``
+    adds digest (md5 of the text) and root, which tells components apart where ids
+    are null or shared; it is null without shingles.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(map_rows(docs, "doc_id long, n long, node binary, bands array<long>, sketch binary",
+    signed = docs.withColumn("digest", text_digest(F.col("text"))) if by_text else docs
+    signed = written(map_rows(signed, "doc_id long, n long, node binary, bands array<long>, sketch binary" + ", digest binary" * by_text,
                               _signer(words)), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -227,8 +236,8 @@ def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     whole = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     lowest = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(lowest, "root").select("node", "component_id")
+    named = whole.join(lowest, "root").select("node", "component_id", "root")
     out = signed.join(named, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), *(["digest", "root"] if by_text else []))
