@@ -7,9 +7,9 @@ word is one of ``TAIL`` classes, by its last byte. The network (a gated
 recurrent unit in numpy) predicts the next word's class and, inside a head
 class, the word; inside a tail class words follow absolutely discounted counts,
 whose discount is the share of unseen words. It is fitted by truncated
-backpropagation on hashed training documents: ``TRAIN_BASE`` tokens plus
-``TRAIN_SHARE`` of all tokens. Every round, each worker starts from the same
-weights and passes over its shard; the weights are averaged by a grouped mean.
+backpropagation on all training documents. Every round, each task
+cuts its documents into shards and passes over each from the same weights; the
+weights are averaged, by tokens, in the task and then by a grouped sum.
 
 Scoring runs whole documents in lanes, window by window, and carries the state
 across windows, so the score is that of the complete text. Counts of up to
@@ -40,9 +40,7 @@ WINDOW = 32
 LANES = 32
 ROUNDS = 3
 DICT = 200_000
-TRAIN_BASE = 1_000_000
-TRAIN_SHARE = 0.005
-SHARD = 200_000          # tokens of a worker's shard
+SHARD = 200_000          # least tokens of a shard but a task's last
 END = b""                # the end token; no word is empty
 
 
@@ -226,6 +224,37 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], rate: float =
     return flat
 
 
+def train_round(learn: DataFrame, shape: Shape, flat: np.ndarray, shard: int = SHARD) -> DataFrame:
+    """(k, w, n): weight k after a pass over every row of ``learn``, averaged over shards by their n tokens."""
+    at = learn.sparkSession.sparkContext.broadcast((shape, flat))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, flat = at.value
+        total, tokens, docs, held = np.zeros(len(flat)), 0, [], 0
+
+        def close() -> None:
+            nonlocal tokens, held
+            total[:] += train(shape, flat, docs).astype(np.float64) * held
+            tokens += held
+            docs.clear()
+            held = 0
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                docs.append(shape.code(_words(text) + [END]))
+                held += len(docs[-1])
+                if held >= shard:
+                    close()
+        if held:
+            close()
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(total, pa.float64()),
+                                              pa.array(np.full(len(flat), tokens), pa.int64())], names=["k", "w", "n"])
+
+    sums = learn.select("text").mapInArrow(fit, "k int, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    return sums.select("k", (F.col("w") / F.col("n")).alias("w"), "n")
+
+
 def score(shape: Shape, p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each whole symbol sequence; the state is carried from window to window."""
     end = shape.head.get(END, len(shape.head))
@@ -296,26 +325,11 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
 
     shape = Shape(head)
     flat = shape.start(head, stat[:, 0])
-    share = min(1.0, (TRAIN_BASE + TRAIN_SHARE * whole) / max(whole, 1))
     if whole:
-        shards = max(1, int(-(-share * whole // SHARD)))
-        part = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-        part = written(part.select("text").repartition(shards, F.xxhash64("text", "doc_id")), "training")
         for _ in range(ROUNDS):
-            at = spark.sparkContext.broadcast((shape, flat))
-
-            def fit(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
-                shape, flat = at.value
-                texts = [t for b in batches for t in b.column("text").to_pylist()]
-                if texts:
-                    done = train(shape, flat, [shape.code(_words(t) + [END]) for t in texts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(done)), pa.int32()), pa.array(done, pa.float32())], names=["k", "w"])
-
-            mean = part.repartition(shards, F.xxhash64("text")).mapInArrow(fit, "k int, w float").groupBy("k").agg(F.avg("w").alias("w"))
-            mean = mean.toPandas()
-            if len(mean) == shape.size:
-                flat = flat.copy()
-                flat[mean["k"].to_numpy()] = mean["w"].to_numpy()
+            mean = train_round(learn, shape, flat).toPandas()       # the model's size
+            flat = flat.copy()
+            flat[mean["k"].to_numpy()] = mean["w"].to_numpy()
 
     model = spark.sparkContext.broadcast((shape, flat, known, stat, discount, unseen, seen))
     out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()),
