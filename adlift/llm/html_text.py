@@ -23,6 +23,8 @@ from adlift.llm.common import map_rows, small_batches
 
 # Element and attribute names of HTML.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas")
+TEXT_ONLY = frozenset("script style title textarea".split())     # without an end tag they last to the end of the page
+LEAVES = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table section article main pre blockquote".split())   # cannot stand in svg or select
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -94,15 +96,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             continue
         name, end = m[2].lower(), m[1] == "/"
         if name in RAW and not end:
+            if name == "svg" and m[3].endswith("/"):
+                continue
             stop = _END[name].search(page, at)
-            at = stop.end() if stop else len(page)
-            continue
+            if stop or name in TEXT_ONLY:
+                at = stop.end() if stop else len(page)
+                continue
         if name == "a":
             in_link = 0 if end else 1
             continue
         if name in INLINE:
             continue
         close()
+        if name in LEAVES and not end and stack and stack[-1][0] in ("svg", "select"):
+            stack.pop()
         if name in VOID or name == "p":
             continue
         if end:
@@ -117,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         inside = any(x == 1 for _, x in stack)
         if name in CONTENT:
             mark = 1
-        elif (name in ASIDE and not (name == "header" and inside)) or HINTS.search(marks) and name != "body":
+        elif name in RAW or (name in ASIDE and not (name == "header" and inside)) or HINTS.search(marks) and name != "body":
             mark = -1
         elif BODY.search(marks) and not any(x == -1 for _, x in stack):
             mark = 1
