@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.llm import oracle
+from adlift.llm.adaptive_scan import nearest
 from adlift.llm.common import WORD, shared_dir
 from adlift.llm.embedding_dedup import embedding_groups
 from adlift.llm.html_text import extract_text
@@ -16,10 +17,12 @@ from adlift.llm.language_id import learn, predict_language
 from adlift.llm.line_dedup import drop_repeated_lines
 from adlift.llm.minhash_dedup import minhash_groups
 from adlift.llm.mixing import mix_sources
+from adlift.llm.period_runs import periodic_runs
 from adlift.llm.quality_rules import quality_rules
 from adlift.llm.recurrent_lm import score_documents
 from adlift.llm.sentencepiece_lattice import encode, load_model
 from adlift.llm.token_counts import Ledger, count_tokens
+from adlift.llm.whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +106,45 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where the exact sum (``deviation_exact``) does not fit a long."""
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16, scale=64.0)
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened",
+                      "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32(doc_id as text) is divisible by 10 and that have n words: from word a on, the first p words from
+    there again and again. A null id has no crc32 and its text stays."""
+    words, h = F.col("_words"), F.col("_h")
+    g = F.floor(h / 10)
+    a = F.pmod(g, F.size(words)).cast("int")
+    p = (1 + F.floor((F.size(words) - a) / (3 + g % 8))).cast("int")
+    word = F.transform(words, lambda w, i: F.when(i < F.col("_a"), w).otherwise(words[F.col("_a") + (i - F.col("_a")) % F.col("_p")]))
+    marked = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    some = (h % 10 == 0) & F.regexp_like("text", F.lit(WORD))
+    marked = marked.withColumn("_words", F.when(some, F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)))
+    marked = marked.withColumns({"_a": F.when(F.col("_words").isNotNull(), a), "_p": F.when(F.col("_words").isNotNull(), p)})
+    return marked.select("doc_id", F.when(words.isNotNull(), F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(wrapped(_documents(spark, sf_dir)), least=12)
+    best = F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("a"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    out = out.withColumn("best", F.get(best, F.lit(0)))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -120,6 +162,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_adaptive_scan": op12_adaptive_scan,
+        "op13_period_runs": op13_period_runs,
         "pipeline": pipeline,
     }
 
