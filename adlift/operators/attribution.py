@@ -1,4 +1,4 @@
-"""Last-touch, linear and time-decay attribution.
+"""Conversions, touchpoints and the pairwise credits (D1-D6, D8, D14); totals that need no pairs are in ``sweep``.
 
 Semantics kept from the reference: credit is shared per *customer* (all of a
 customer's (exposure, conversion) pairs form one journey), control exposures
@@ -17,12 +17,10 @@ join-back.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlift.functions.numeric import exact_sum, round_half_away as R, safe_div
+from adlift.functions.numeric import round_half_away as R, safe_div
 from adlift.sources.mapped import CampaignTables
 
 SALTS = 4
@@ -71,7 +69,7 @@ def last_touch(pairs: DataFrame, keys=CUSTOMER) -> DataFrame:
                     F.col("t.k4").alias("revenue_generated"), F.lit(1.0).alias("attribution_credit")))
 
 
-def _roi_pct(rev, cost):
+def roi_pct(rev, cost):
     return R(safe_div(rev - cost, cost) * 100, 2)
 
 
@@ -85,7 +83,7 @@ def last_touch_by_campaign(lt: DataFrame, campaigns: DataFrame) -> DataFrame:
             .select("campaign_id", "campaign_name", "channel", "conversions_attributed",
                     rev.alias("revenue_attributed"), cost.alias("total_cost"),
                     (F.col("_rev") - F.col("_cost")).cast("double").alias("profit"),
-                    _roi_pct(rev, cost).alias("roi_percentage"))
+                    roi_pct(rev, cost).alias("roi_percentage"))
             .orderBy(F.col("roi_percentage").desc_nulls_last(), "campaign_id"))
 
 
@@ -98,7 +96,7 @@ def last_touch_by_channel(lt: DataFrame) -> DataFrame:
         F.count("revenue_generated").alias("_n"))
     return (agg.select("channel", "total_conversions", "total_revenue", "total_cost",
                        R(safe_div("total_revenue", "_n"), 2).alias("avg_revenue_per_conversion"),
-                       _roi_pct(F.col("total_revenue"), F.col("total_cost")).alias("channel_roi_pct"))
+                       roi_pct(F.col("total_revenue"), F.col("total_cost")).alias("channel_roi_pct"))
             .orderBy(F.col("channel_roi_pct").desc_nulls_last(), "channel"))
 
 
@@ -142,13 +140,12 @@ def decay_constants(half_life_days: int) -> list[float]:
     return [0.5 ** (r / half_life_days) for r in range(half_life_days)]
 
 
-def _decay(half_life_days: float):
-    """0.5^(days / half_life). For a whole-day half-life h the exponent splits as
-    days = q*h + r, so the weight is an exact power of two times one of h
+def decay_weight(days, half_life_days: float):
+    """0.5^(days / half_life) of an integer column. For a whole-day half-life h the exponent
+    splits as days = q*h + r, so the weight is an exact power of two times one of h
     driver-side constants: identical bits in every engine (``pow`` differs by an
     ulp between JVM and C libraries)."""
     h = float(half_life_days)
-    days = F.datediff(F.col("conversion_date"), F.col("exposure_date"))
     if h.is_integer() and h >= 1:
         hi = int(h)
         consts = F.array(*[F.lit(c) for c in decay_constants(hi)])
@@ -157,6 +154,10 @@ def _decay(half_life_days: float):
     return F.pow(F.lit(0.5), days.cast("double") / F.lit(h))
 
 
+def _decay(half_life_days: float):
+    return decay_weight(F.datediff(F.col("conversion_date"), F.col("exposure_date")), half_life_days)
+
+
 def linear(pairs: DataFrame, keys=CUSTOMER) -> DataFrame:
     """Equal credit over all of a customer's touches."""
     n = F.col("total_touches")
@@ -177,71 +178,6 @@ def time_decay(pairs: DataFrame, half_life_days: float = 7.0, keys=CUSTOMER) ->
                     R(share * F.col("revenue_generated").cast("double"), 2).alias("attributed_revenue")))
 
 
-def _credited_by_campaign(attr: DataFrame, campaigns: DataFrame, extra: dict | None = None) -> DataFrame:
-    extra = extra or {}
-    rev, cost = exact_sum("attributed_revenue", 2), F.sum("cost_per_contact").cast("double")
-    agg = attr.groupBy("campaign_id", "channel").agg(
-        F.countDistinct("customer_id").alias("customers_touched"),
-        R(exact_sum("attribution_credit", 4), 2).alias("total_conversions_credited"),
-        R(rev, 2).alias("revenue_attributed"), cost.alias("total_cost"),
-        _roi_pct(rev, cost).alias("roi_percentage"), *[c.alias(n) for n, c in extra.items()])
-    return (agg.join(campaigns.select("campaign_id", "campaign_name"), "campaign_id")
-            .select("campaign_id", "campaign_name", "channel", "customers_touched", "total_conversions_credited",
-                    "revenue_attributed", "total_cost", "roi_percentage", *extra)
-            .orderBy(F.col("roi_percentage").desc_nulls_last(), "campaign_id"))
-
-
-def linear_by_campaign(lin: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Customers touched, credited conversions, revenue, cost, ROI % per campaign."""
-    return _credited_by_campaign(lin, campaigns)
-
-
-def time_decay_by_campaign(td: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """As D7 plus mean days from touch to conversion."""
-    return _credited_by_campaign(td, campaigns, extra={"avg_days_to_conversion": R(F.avg("days_to_conversion"), 1)})
-
-
-def model_comparison(lt: DataFrame, lin: DataFrame, td: DataFrame) -> DataFrame:
-    """The three models side by side per channel."""
-    def by_channel(df, label, rev):
-        cost = F.sum("cost_per_contact").cast("double")
-        return (df.groupBy("channel").agg(R(rev, 2).alias("total_revenue"), _roi_pct(rev, cost).alias("roi_pct"))
-                .select(F.lit(label).alias("attribution_model"), "channel", "total_revenue", "roi_pct"))
-    parts = [by_channel(lt, "Last-Touch", F.sum("revenue_generated").cast("double")),
-             by_channel(lin, "Linear", exact_sum("attributed_revenue", 2)),
-             by_channel(td, "Time-Decay", exact_sum("attributed_revenue", 2))]
-    return (reduce(DataFrame.unionByName, parts)
-            .orderBy("attribution_model", F.col("roi_pct").desc_nulls_last(), "channel"))
-
-
-def budget_shift(td: DataFrame) -> DataFrame:
-    """Spend share versus time-decay revenue share per channel."""
-    from pyspark.sql.types import DecimalType
-    per = (td.groupBy("channel")
-           .agg(F.sum(F.col("attributed_revenue").cast(DecimalType(38, 2))).alias("_rev_dec"),
-                F.sum("cost_per_contact").alias("_cost_dec"))
-           .withColumn("_rev", F.col("_rev_dec").cast("double")))
-    totals = per.agg(F.sum("_rev_dec").cast("double").alias("_trev"),
-                     F.sum("_cost_dec").cast("double").alias("_tcost"))
-    j = per.crossJoin(F.broadcast(totals))  # one-row totals (J10)
-    cost = F.col("_cost_dec").cast("double")
-    spend_pct = safe_div(cost, "_tcost") * 100
-    rev_pct = safe_div("_rev", "_trev") * 100
-    return (j.select("channel", R("_rev", 2).alias("current_revenue"), cost.alias("current_spend"),
-                     R(spend_pct, 2).alias("current_budget_pct"), _roi_pct(F.col("_rev"), cost).alias("roi_pct"),
-                     R(rev_pct, 2).alias("recommended_budget_pct"), R(rev_pct - spend_pct, 2).alias("budget_shift_pct"))
-            .orderBy(F.col("roi_pct").desc_nulls_last(), "channel"))
-
-
-# ---------------------------------------------------------------------------
-# Workbook variants (unrounded credits summed, then rounded)
-# ---------------------------------------------------------------------------
-
-def _order_free(value):
-    """Sum of doubles in fixed point, so that arrival order cannot flip the later rounding."""
-    return F.sum(value.cast("decimal(38,15)")).cast("double")
-
-
 def last_touch_summary(lt: DataFrame) -> DataFrame:
     """Attributed conversions and revenue per (campaign, channel)."""
     return (lt.groupBy("campaign_id", "channel").agg(
@@ -250,29 +186,6 @@ def last_touch_summary(lt: DataFrame) -> DataFrame:
         .orderBy(F.col("revenue_attributed").desc_nulls_last(), "campaign_id"))
 
 
-def linear_summary(pairs: DataFrame) -> DataFrame:
-    """1/n credit summed unrounded, then rounded."""
-    n = F.col("total_touches")
-    j = pairs.join(_journey_totals(pairs, None), "customer_id")
-    return (j.groupBy("campaign_id", "channel").agg(
-        F.countDistinct("customer_id").alias("customers_influenced"),
-        R(_order_free(F.lit(1.0) / n), 2).alias("conversions_attributed"),
-        R(_order_free(F.col("revenue_generated").cast("double") / n), 2).alias("revenue_attributed"))
-        .orderBy(F.col("revenue_attributed").desc_nulls_last(), "campaign_id"))
-
-
-def time_decay_summary(pairs: DataFrame, half_life_days: float = 7.0) -> DataFrame:
-    """Unrounded decay shares summed; whole days averaged."""
-    j = pairs.join(_journey_totals(pairs, half_life_days).drop("total_touches"), "customer_id")
-    share = _decay(half_life_days) / F.col("total_weight")
-    return (j.groupBy("campaign_id", "channel").agg(
-        F.countDistinct("customer_id").alias("customers_influenced"),
-        R(_order_free(share), 2).alias("conversions_attributed"),
-        R(_order_free(share * F.col("revenue_generated").cast("double")), 2).alias("revenue_attributed"),
-        R(F.avg(F.datediff("conversion_date", "exposure_date")), 1).alias("avg_days_to_conversion"))
-        .orderBy(F.col("revenue_attributed").desc_nulls_last(), "campaign_id"))
-
-
 def attribute(tables: CampaignTables, model: str = "last_touch", half_life_days: float = 7.0,
               scope: str = "customer", salt_buckets: int = SALTS) -> DataFrame:
     """One entry point for the three models.

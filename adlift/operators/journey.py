@@ -9,19 +9,6 @@ from adlift.functions.numeric import round_half_away as R
 from adlift.sources.mapped import CampaignTables
 
 
-def touch_stats(pairs: DataFrame) -> DataFrame:
-    """Touches per converting customer: mean, min, max and population std.
-
-    Two-level aggregate (per customer, then global); both levels aggregate
-    partially before their shuffle.
-    """
-    per = pairs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("t"))
-    t = F.col("t")
-    return per.agg(
-        F.avg(t).alias("avg_touches_to_conversion"), F.min(t).alias("min_touches"), F.max(t).alias("max_touches"),
-        R(F.sqrt(F.avg(t * t) - F.avg(t) * F.avg(t)), 2).alias("stdev_touches"))
-
-
 def channel_paths(pairs: DataFrame, sep: str = " → ") -> DataFrame:
     """Per customer: the ordered channel path and its length.
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import DecimalType
 from adlift.operators import attribution as A
 from adlift.functions.numeric import safe_div
 from adlift.operators import abtest, audience, budget, curves, features, journey, kpi, quality, roi, rollups
-from adlift.operators import response, report, uplift
+from adlift.operators import response, report, sweep, uplift
 from adlift.sources.mapped import campaign_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,14 +39,6 @@ def _p(fn) -> Query:
     return lambda spark, sf_dir: fn(A.touchpoints(campaign_tables(spark, sf_dir)))
 
 
-def _pc(fn) -> Query:
-    """Query over the pair table and the campaign dimension."""
-    def run(spark, sf_dir):
-        t = campaign_tables(spark, sf_dir)
-        return fn(A.touchpoints(t), t.campaigns)
-    return run
-
-
 def _k(fn) -> Query:
     """Query over the campaign KPI table."""
     return lambda spark, sf_dir: fn(kpi.campaign_kpis(campaign_tables(spark, sf_dir)))
@@ -162,20 +154,20 @@ def queries() -> dict[str, Query]:
         # D: attribution and journeys
         "conversions": _t(A.conversions),
         "touchpoints": _t(A.touchpoints),
-        "attr_last_touch": _p(A.last_touch),
-        "attr_last_touch_campaign": _pc(lambda p, c: A.last_touch_by_campaign(A.last_touch(p), c)),
-        "attr_last_touch_channel": _p(lambda p: A.last_touch_by_channel(A.last_touch(p))),
+        "attr_last_touch": _t(sweep.last_touches),
+        "attr_last_touch_campaign": _t(lambda t: A.last_touch_by_campaign(sweep.last_touches(t), t.campaigns)),
+        "attr_last_touch_channel": _t(lambda t: A.last_touch_by_channel(sweep.last_touches(t))),
         "attr_linear": _p(A.linear),
-        "attr_linear_campaign": _pc(lambda p, c: A.linear_by_campaign(A.linear(p), c)),
+        "attr_linear_campaign": _t(sweep.linear_by_campaign),
         "attr_time_decay": _p(A.time_decay),
-        "attr_time_decay_campaign": _pc(lambda p, c: A.time_decay_by_campaign(A.time_decay(p), c)),
-        "attr_model_comparison": _p(lambda p: A.model_comparison(A.last_touch(p), A.linear(p), A.time_decay(p))),
-        "journey_touch_stats": _p(journey.touch_stats),
+        "attr_time_decay_campaign": _t(sweep.time_decay_by_campaign),
+        "attr_model_comparison": _t(sweep.model_comparison),
+        "journey_touch_stats": _t(lambda t: sweep.touch_stats(sweep.journeys(t))),
         "journey_sequences": _p(journey.journey_sequences),
-        "attr_budget_shift": _p(lambda p: A.budget_shift(A.time_decay(p))),
-        "attr_last_touch_summary": _p(lambda p: A.last_touch_summary(A.last_touch(p))),
-        "attr_linear_summary": _p(A.linear_summary),
-        "attr_time_decay_summary": _p(A.time_decay_summary),
+        "attr_budget_shift": _t(sweep.budget_shift),
+        "attr_last_touch_summary": _t(lambda t: A.last_touch_summary(sweep.last_touches(t))),
+        "attr_linear_summary": _t(sweep.linear_summary),
+        "attr_time_decay_summary": _t(sweep.time_decay_summary),
         "touch_conversion_curve": _t(journey.touch_conversion_curve),
         "channel_mix": _t(journey.channel_mix),
         # Python-path ROI frames
