@@ -5,8 +5,7 @@ the double-precision rational approximation of Hart (1968) in the form given by
 G. West, "Better approximations to cumulative normal functions" (2005), so the
 oracle SQL can spell the same arithmetic. Quantiles of the normal law are
 constants of a query and are taken on the driver with ``statistics.NormalDist``.
-Student-t functions (Welch test) run in an Arrow UDF over already aggregated
-rows: one row per campaign, never per exposure.
+Student's t is in ``student``.
 """
 
 from __future__ import annotations
@@ -14,11 +13,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # Coefficients of the Hart / West cumulative normal approximation,
 # numerator then denominator, highest power first.
@@ -79,10 +75,6 @@ def normal_upper_tail_sql(z: str) -> str:
     return f"(CASE WHEN {a} > 37 THEN 0.0 WHEN {a} < {_SPLIT!r} THEN {near} ELSE {far} END)"
 
 
-def two_sided_p_sql(z: str) -> str:
-    return f"(2.0 * {normal_upper_tail_sql(z)})"
-
-
 def normal_tail_py(z: float) -> float:
     """Scalar twin, for tests and driver-side checks."""
     a = abs(z)
@@ -106,102 +98,3 @@ def normal_tail_py(z: float) -> float:
 def z_quantile(p: float) -> float:
     """Standard normal quantile (driver-side constant)."""
     return NormalDist().inv_cdf(p)
-
-
-# ---------------------------------------------------------------------------
-# Student t (regularised incomplete beta by continued fraction, DLMF 8.17.22)
-# ---------------------------------------------------------------------------
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        step = d * c
-        h *= step
-        if abs(step - 1.0) < 1e-15:
-            break
-    return h
-
-
-def reg_inc_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    front = math.exp(lbeta)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return reg_inc_beta(df / 2.0, 0.5, df / (df + t * t))
-
-
-def t_cdf(t: float, df: float) -> float:
-    tail = 0.5 * t_two_sided_p(t, df)
-    return 1.0 - tail if t > 0 else tail
-
-
-def t_quantile(p: float, df: float) -> float:
-    if df is None or math.isnan(df) or df <= 0:
-        return float("nan")
-    if p == 0.5:
-        return 0.0
-    lo, hi = -1.0, 1.0
-    while t_cdf(lo, df) > p:
-        lo *= 2.0
-    while t_cdf(hi, df) < p:
-        hi *= 2.0
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if t_cdf(mid, df) < p:
-            lo = mid
-        else:
-            hi = mid
-        if hi - lo < 1e-13 * max(1.0, abs(mid)):
-            break
-    return 0.5 * (lo + hi)
-
-
-def t_two_sided_p_col(t, df) -> Column:
-    """Two-sided Student-t p-value as an Arrow UDF column (built lazily so the
-    module imports cleanly inside Python workers)."""
-
-    @pandas_udf("double")
-    def _p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else np.nan
-                          for a, b in zip(t, df)], dtype="float64")
-
-    return _p(t, df)
-
-
-def t_critical_col(df, alpha: float) -> Column:
-    """Student-t critical value t_{1 - alpha/2, df} as an Arrow UDF column."""
-    q = 1.0 - alpha / 2.0
-
-    @pandas_udf("double")
-    def _crit(df: pd.Series) -> pd.Series:
-        return pd.Series([t_quantile(q, d) if pd.notna(d) else np.nan for d in df], dtype="float64")
-
-    return _crit(df)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlift.functions.guards import require_columns
-from adlift.functions.numeric import safe_div
-from adlift.functions.stats import t_critical_col, t_two_sided_p_col, two_sided_p, z_quantile
+from adlift.functions.numeric import round_half_away as R, safe_div
+from adlift.functions.stats import two_sided_p, z_quantile
+from adlift.functions.student import t_critical, two_sided_t
 from adlift.sources.mapped import CampaignTables
 
 
@@ -88,8 +89,8 @@ def ab_revenue(rows: DataFrame, by=("campaign_id",), alpha: float = 0.05) -> Dat
                        .otherwise(F.lit(0.0)))
            .withColumn("_se", se).withColumn("welch_df", dfw)
            .withColumn("t_statistic", safe_div(lift, se)))
-    out = (out.withColumn("p_value", t_two_sided_p_col(F.col("t_statistic"), F.col("welch_df")))
-           .withColumn("_tcrit", t_critical_col(F.col("welch_df"), alpha)))
+    out = (out.withColumn("p_value", two_sided_t("t_statistic", "welch_df"))
+           .withColumn("_tcrit", t_critical("welch_df", alpha)))
     return (out.withColumn("statistically_significant", F.col("p_value") < F.lit(alpha))
             .withColumn("ci_lower", F.col("absolute_lift") - F.col("_tcrit") * F.col("_se"))
             .withColumn("ci_upper", F.col("absolute_lift") + F.col("_tcrit") * F.col("_se"))
@@ -136,16 +137,38 @@ def bonferroni(df: DataFrame, p_col: str = "p_value", alpha: float = 0.05) -> Da
             .withColumn("bonferroni_significant", F.col(p_col) < F.col("adjusted_alpha")))
 
 
-def ab_verdict(df: DataFrame, small_effect: float = 0.05) -> DataFrame:
-    """significance, small-effect flag and SCALE / KILL / ITERATE."""
-    sig, rel = F.col("statistically_significant"), F.col("relative_lift")
+def _shown(value: Column, digits: int) -> Column:
+    """Rounded before printing, as engines print halves differently; a negative zero has no sign."""
+    return F.format_string(f"%.{digits}f", R(value, digits))
+
+
+def ab_verdict(df: DataFrame, small_effect: float = 0.05, alpha: float = 0.05) -> DataFrame:
+    """small-effect flag, SCALE / KILL / ITERATE, and a message in plain words.
+
+    Takes the rows of the conversion test (``treatment_rate``, ``control_rate``) or of the revenue test
+    (``treatment_mean``, ``control_mean``). The message also has the interval where the row has one, the effective alpha
+    where it was corrected, and cost and ROI where ``total_cost`` is above zero and ``roi`` is there."""
+    sig, rel, has = F.col("statistically_significant"), F.col("relative_lift"), set(df.columns)
     rec = (F.when(sig & (rel > small_effect), "SCALE")
            .when(sig & (rel < -small_effect), "KILL").otherwise("ITERATE"))
-    head = F.when(sig, F.format_string("STATISTICALLY SIGNIFICANT (p=%.4f)", F.col("p_value"))) \
-        .otherwise(F.format_string("NOT STATISTICALLY SIGNIFICANT (p=%.4f)", F.col("p_value")))
-    text = F.concat_ws(" | ", head, F.format_string("relative lift %.2f%%", rel * 100),
-                       F.when(F.abs(rel) < small_effect, F.lit("SMALL EFFECT")),
-                       F.concat(F.lit("RECOMMENDATION: "), rec))
+    parts = [F.concat(F.when(sig, F.lit("The arms differ")).otherwise("No proven difference"), F.lit(", p "), _shown(F.col("p_value"), 4))]
+    if "treatment_rate" in has:
+        parts.append(F.concat(F.lit("converted "), _shown(F.col("treatment_rate") * 100, 2), F.lit(" % of the treated and "),
+                              _shown(F.col("control_rate") * 100, 2), F.lit(" % of the others")))
+    elif "treatment_mean" in has:
+        parts.append(F.concat(F.lit("a treated user brings "), _shown(F.col("treatment_mean"), 2), F.lit(", another "),
+                              _shown(F.col("control_mean"), 2)))
+    parts.append(F.concat(F.lit("lift of "), _shown(rel * 100, 2), F.lit(" %")))
+    if {"ci_lower", "ci_upper"} <= has:
+        parts.append(F.concat(F.lit(f"{(1 - alpha) * 100:g} % interval of the difference "), _shown(F.col("ci_lower"), 4), F.lit(" to "),
+                              _shown(F.col("ci_upper"), 4)))
+    if {"bonferroni_applied", "effective_alpha"} <= has:
+        parts.append(F.when(F.col("bonferroni_applied"), F.concat(F.lit("tested at alpha "), _shown(F.col("effective_alpha"), 4))))
+    parts.append(F.when(F.abs(rel) < small_effect, F.lit("too small to matter much")))
+    if {"total_cost", "roi"} <= has:
+        parts.append(F.when(F.col("total_cost") > 0, F.concat(
+            F.lit("cost "), _shown(F.col("total_cost"), 2), F.lit(", ROI "), _shown(F.col("roi") * 100, 2), F.lit(" %"))))
+    text = F.concat_ws("; ", *parts, F.concat(F.lit("verdict "), rec))
     return (df.withColumn("small_effect", F.abs(rel) < small_effect)
             .withColumn("recommendation", rec).withColumn("message", text))
 
@@ -186,12 +209,6 @@ def ab_summary(results: DataFrame) -> DataFrame:
                        (F.count(F.lit(1)) - wins - losses).alias("inconclusive"))
 
 
-def ab_single_campaign(tables: CampaignTables, campaign_id: str, alpha: float = 0.05) -> DataFrame:
-    """F1 + F7 for one chosen campaign."""
-    counts = campaign_counts(tables).where(F.col("campaign_id") == campaign_id)
-    return ab_verdict(ab_conversion(counts, alpha=alpha))
-
-
 def ab_verdicts(tables: CampaignTables, alpha: float = 0.05) -> DataFrame:
     """F11 over every campaign at once: conversion test plus verdict."""
     res = ab_verdict(ab_conversion(campaign_counts(tables), alpha=alpha))
@@ -199,6 +216,20 @@ def ab_verdicts(tables: CampaignTables, alpha: float = 0.05) -> DataFrame:
                       "statistically_significant", "small_effect", "recommendation")
 
 
+def ab_messages(tables: CampaignTables, alpha: float = 0.05) -> DataFrame:
+    """F7 over every campaign, in words: the conversion test at the Bonferroni-corrected alpha with cost and ROI, and the
+    revenue test."""
+    counts = campaign_counts(tables)
+    n = counts.count()      # campaigns
+    tested = ab_conversion(counts, alpha=alpha, n_tests=max(n, 1), bonferroni=True)
+    tested = tested.withColumn("incremental_revenue", incremental_revenue("treatment_revenue", "treatment_n", "control_revenue", "control_n"))
+    tested = tested.withColumn("roi", roi_columns("incremental_revenue", "total_cost")["roi"])
+    conv = ab_verdict(tested, alpha=alpha / max(n, 1)).select("campaign_id", F.lit("conversion").alias("test"), "recommendation", "message")
+    facts = tables.exposures.join(tables.outcomes.select("customer_id", "campaign_id", "revenue_generated"), ["customer_id", "campaign_id"], "left")
+    rev = ab_verdict(ab_revenue(facts, alpha=alpha), alpha=alpha).select("campaign_id", F.lit("revenue").alias("test"), "recommendation", "message")
+    return conv.unionByName(rev)
+
+
 def ab_test(rows: DataFrame, by=("campaign_id",), cost: DataFrame | None = None,
             alpha: float = 0.05) -> DataFrame:
     """F8: ``run_campaign_test`` for every group at once: conversion test,

@@ -186,6 +186,7 @@ def queries() -> dict[str, Query]:
         "ab_bonferroni": _t(lambda t: abtest.bonferroni(abtest.ab_all_campaigns(t)).select(
             "campaign_id", "p_value", "n_tests", "adjusted_alpha", "adjusted_p_value", "bonferroni_significant")),
         "ab_verdicts": _t(abtest.ab_verdicts),
+        "ab_messages": _t(abtest.ab_messages),
         "ab_campaign_test": _t(_ab_campaign_test),
         "ab_all_campaigns": _t(abtest.ab_all_campaigns),
         "ab_summary": _t(lambda t: abtest.ab_summary(abtest.ab_all_campaigns(t))),
