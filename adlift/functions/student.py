@@ -58,7 +58,7 @@ def two_sided_t(t, df) -> Column:
     """P(|T| > |t|) with ``df`` degrees of freedom (of any size, whole or not); null for null, NaN and df <= 0."""
     t, n = F.abs(_double(t)), _double(df)
     p = _tail(F.least(t, F.lit(1e150)), n, gamma_ratio(n / 2) / F.sqrt(n))
-    return F.when(_usable(n) & ~F.isnan(t), F.when(t == float("inf"), 0.0).otherwise(F.least(p, F.lit(1.0))))
+    return F.when(_usable(n) & t.isNotNull() & ~F.isnan(t), F.when(t == float("inf"), 0.0).otherwise(F.least(p, F.lit(1.0))))
 
 
 def t_critical(df, alpha: float) -> Column:

@@ -7,7 +7,7 @@ split, the multiplicative response rule, and contact costs per channel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlift.functions.numeric import safe_div
@@ -73,14 +73,15 @@ def rule_propensity(df: DataFrame, treated: Column | None = None) -> Column:
 def observed_uplift_scores(base: DataFrame) -> DataFrame:
     """Treated and control scores of every row: the converted share of its (channel, income band) in either arm,
     or of the whole arm where a cell has no row of that arm. One grouped sum over at most 30 cells, joined back."""
+    # sums per cell first, so that the shares of a whole arm come from the few cells and ``base`` is read once
+    sums = {f"_{what}{arm}": c for arm in (1, 0) for what, c in (
+        ("won", F.sum(F.when(F.col("treatment_group") == arm, F.col("converted")))), ("n", F.count_if(F.col("treatment_group") == arm)))}
+    cells = base.groupBy(F.col("channel").alias("_ch"), F.col("income_band").alias("_ib")).agg(*[c.alias(n) for n, c in sums.items()])
+    every = Window.partitionBy(F.lit(0))    # over the cells
+
     def share(arm: int) -> Column:
-        return safe_div(F.sum(F.when(F.col("treatment_group") == arm, F.col("converted"))),
-                        F.count_if(F.col("treatment_group") == arm))
-    whole = base.agg(share(1).alias("_t"), share(0).alias("_c"))
-    cells = base.groupBy("channel", "income_band").agg(share(1).alias("treatment_prob"), share(0).alias("control_prob"))
-    cells = cells.crossJoin(F.broadcast(whole)).select(
-        F.col("channel").alias("_ch"), F.col("income_band").alias("_ib"), F.coalesce("treatment_prob", "_t").alias("treatment_prob"),
-        F.coalesce("control_prob", "_c").alias("control_prob"))
+        return F.coalesce(safe_div(f"_won{arm}", f"_n{arm}"), safe_div(F.sum(f"_won{arm}").over(every), F.sum(f"_n{arm}").over(every)))
+    cells = cells.select("_ch", "_ib", share(1).alias("treatment_prob"), share(0).alias("control_prob"))
     same = F.col("channel").eqNullSafe(F.col("_ch")) & F.col("income_band").eqNullSafe(F.col("_ib"))
     return (base.join(F.broadcast(cells), same, "left").drop("_ch", "_ib")   # channels x income bands: a fixed domain
             .withColumn("uplift_score", F.col("treatment_prob") - F.col("control_prob")))

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from adlift.functions.ranking import exact_medians, rank_offsets, top_n_rows
+from adlift.functions.ranking import exact_medians, order_statistics, rank_offsets, top_n_rows
 from adlift.operators import curves
 
 
@@ -51,3 +51,26 @@ def test_exact_medians(spark):
         got = exact_medians(df.withColumn("gone", F.lit(None).cast("double")), {"score": "a", "id": "b", "gone": "c"}).first()
         assert abs(got.a - statistics.median(s for _, s, _ in rows)) < 1e-12
         assert got.b == statistics.median(i for i, _, _ in rows) and got.c is None
+
+
+def test_order_statistics_narrow_to_the_value(spark):
+    """Small sketches and limits, so that brackets are narrowed and halved, over ties, two heavy values and wide ranges."""
+    rnd = random.Random(3)
+    columns = {
+        "ties": [float(rnd.randint(0, 5)) for _ in range(3000)],
+        "two": [0.0] * 1500 + [1.0] * 1500,
+        "wide": [rnd.lognormvariate(0, 30) for _ in range(3000)],
+        "heavy": [7.0] * 2000 + [rnd.random() for _ in range(500)] + [8 + rnd.random() for _ in range(500)],
+        "same": [3.0] * 3000,
+    }
+    rows = list(zip(*columns.values()))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).checkpoint()
+    places = [0, 499, 1499, 1500]
+    got = order_statistics(df, {c: lambda n: [*places, n, -1] for c in columns}, accuracy=40, few=200)
+    for c, values in columns.items():
+        ordered = sorted(values)
+        assert [r.value for r in got[c]] == [ordered[p] for p in places]
+        assert [(r.before, r.equal) for r in got[c]] == [(sum(v < r.value for v in values), values.count(r.value)) for r in got[c]]
+    big = spark.range(2 ** 60, 2 ** 60 + 2000)
+    assert [r.value for r in order_statistics(big, {"id": lambda n: [5, 1000]}, few=500)["id"]] == [2 ** 60 + 5, 2 ** 60 + 1000]
+    assert order_statistics(df.limit(0), {"two": lambda n: [0]}) == {"two": []}
