@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adlift.llm import oracle
 from adlift.llm.adaptive_scan import nearest
-from adlift.llm.common import WORD, shared_dir
+from adlift.llm.common import WORD, shared_dir, written
 from adlift.llm.embedding_dedup import embedding_groups
 from adlift.llm.html_text import extract_text
 from adlift.llm.language_id import learn, predict_language
@@ -21,7 +21,7 @@ from adlift.llm.period_runs import periodic_runs
 from adlift.llm.quality_rules import quality_rules
 from adlift.llm.recurrent_lm import score_documents
 from adlift.llm.sentencepiece_lattice import encode, load_model
-from adlift.llm.token_counts import Ledger, count_tokens
+from adlift.llm.token_counts import Ledger, count_tokens, token_count
 from adlift.llm.whitening import whiten
 
 
@@ -79,19 +79,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    words = count_tokens(docs).withColumn("old_tokens", F.lit(0))
-    kept = docs.join(marks.where("quality = 0"), "doc_id", "left_anti")
-    toxic = docs.join(marks.where("toxic = 1 and quality is distinct from 0"), "doc_id", "left_semi")
+    # texts are counted where they are read; only ids and counts meet the labels
     longer = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]{2,}")), F.lit(0)).cast("long")
-    revised = toxic.select(
-        "source", "lang", F.lit("words-1").alias("tokenizer"), longer.alias("n_tokens"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("old_tokens"))
+    counts = count_tokens(docs.withColumns({"longer": longer, "pieces": token_count("pieces-2", "text")}), keep=("longer", "pieces"))
+    counts = written(counts.join(marks, "doc_id", "left"), "counted")
+    bad, none = F.coalesce(F.col("quality") == 0, F.lit(False)), F.lit(0).cast("long")
+    first = counts.withColumn("old_tokens", none)
+    revised = counts.where((F.col("toxic") == 1) & ~bad).withColumn("old_tokens", F.col("n_tokens"))
+    pieces = first.where(~bad).withColumns({"tokenizer": F.lit("pieces-2"), "n_tokens": F.col("pieces")})
     batches = {
-        "load": words.withColumn("kind", F.lit("insert")),
-        "purge": count_tokens(docs.join(marks.where("quality = 0"), "doc_id", "left_semi")).withColumns(
-            {"kind": F.lit("delete"), "old_tokens": F.lit(0)}),
-        "revise": revised.withColumn("kind", F.lit("revise")),
-        "pieces": count_tokens(kept, version="pieces-2").withColumns({"kind": F.lit("insert"), "old_tokens": F.lit(0)}),
+        "load": first.withColumn("kind", F.lit("insert")),
+        "purge": first.where(bad).withColumn("kind", F.lit("delete")),
+        "revise": revised.withColumns({"kind": F.lit("revise"), "n_tokens": F.col("longer")}),
+        "pieces": pieces.withColumn("kind", F.lit("insert")),
     }
     ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     for batch in [*batches, "load", "purge"]:

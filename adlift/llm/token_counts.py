@@ -16,7 +16,7 @@ count as often as they occur. An empty batch commits and adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.llm.common import WORD
@@ -25,17 +25,22 @@ KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                 lang_col: str = "lang", version: str = "words-1") -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens of every row under a tokenizer version.
+def token_count(version: str, text_col: str) -> Column:
+    """Tokens of a text under a tokenizer version, 0 for null.
 
     ``words-1``: runs of non-space characters. ``pieces-2``: runs of at most
     four characters of such words, the larger count that a later tokenizer gives.
     """
     pattern = {"words-1": WORD, "pieces-2": r"[^\x20\x09-\x0D]{1,4}"}[version]
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                 lang_col: str = "lang", version: str = "words-1", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, tokenizer, n_tokens of every row under a tokenizer version, and the columns ``keep``."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.col(lang_col).cast("string").alias("lang"), F.lit(version).alias("tokenizer"),
-                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(pattern)), F.lit(0)).cast("long").alias("n_tokens"))
+                       token_count(version, text_col).alias("n_tokens"), *keep)
 
 
 def deltas(changes: DataFrame) -> DataFrame:

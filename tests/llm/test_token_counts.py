@@ -25,3 +25,19 @@ def test_batches_commit_once(spark):
 def test_counts(spark):
     rows = {r.doc_id: r.n_tokens for r in count_tokens(odd(spark)).collect()}
     assert all(rows[r.doc_id] == len(words(r.text)) for r in odd(spark).collect())
+
+
+def test_query_with_odd_labels(spark, tmp_path):
+    """Null and repeated label ids, labels without documents, repeated documents: each row is judged by the worst of its labels."""
+    from adlift.llm import oracle, queries
+    import duckdb
+    odd(spark).select("doc_id", "text", "lang", "source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 1), (1, 1, 0), (2, 0, 1), (2, 1, None), (None, 0, 1), (6, None, 1), (8, None, None), (99, 0, 0), (9, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.op9_token_counts(spark, str(tmp_path))
+    want = con.execute(oracle.TOKEN_COUNTS)
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(r for r in want.fetchall() if r[3] or r[4])
