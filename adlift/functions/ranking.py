@@ -33,33 +33,33 @@ def _splits(df: DataFrame, col: str, bins: int, rel_err: float) -> list[float]:
 
 
 def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int | None = None,
-                 sums: dict[str, Column] | None = None, rel_err: float = 1e-3) -> DataFrame:
+                 sums: dict[str, Column] | None = None, rel_err: float = 1e-3, by: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct value of ``col``: ``n_at`` rows with that value and
     ``n_before`` rows strictly before it in the chosen order, plus optional
-    per-value sums (``sums``) and their running totals ``<name>_before``."""
+    per-value sums (``sums``) and their running totals ``<name>_before``, all within the rows alike in ``by`` (few groups)."""
     sums = sums or {}
     bins = bins or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(col).cast("double")
-    keyed = df.where(F.col(col).isNotNull()).select(F.col(col), (-v if descending else v).alias("_k"),
+    keyed = df.where(F.col(col).isNotNull()).select(*by, F.col(col), (-v if descending else v).alias("_k"),
                                                     *[c.alias(n) for n, c in sums.items()])
-    distinct = keyed.groupBy(col, "_k").agg(F.count(F.lit(1)).alias("n_at"), *[F.sum(n).alias(n) for n in sums])
+    distinct = keyed.groupBy(*by, col, "_k").agg(F.count(F.lit(1)).alias("n_at"), *[F.sum(n).alias(n) for n in sums])
     distinct = distinct.checkpoint()    # ``df`` is read once, whatever it is made of
     splits = _splits(distinct, "_k", bins, rel_err)
     b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(distinct)
     names = ["n_at", *sums]
-    totals = b.groupBy("_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    totals = b.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     # at most ``bins`` rows: an unpartitioned window over the bucket totals is bounded
-    prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}")
+    prior = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}")
                                     for n in names])
     # the value itself orders: large integers may share a double
     order = F.col(col).desc() if descending else F.col(col).asc()
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.join(F.broadcast(offsets), "_b")
+    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = b.join(F.broadcast(offsets), [*by, "_b"])
     for n in names:
         out = out.withColumn(f"{n}_before" if n != "n_at" else "n_before",
                              F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return out.select(col, *names, "n_before", *[f"{n}_before" for n in sums])
+    return out.select(*by, col, *names, "n_before", *[f"{n}_before" for n in sums])
 
 
 @dataclass(frozen=True)

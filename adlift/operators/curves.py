@@ -14,31 +14,33 @@ from adlift.functions.ranking import rank_offsets
 
 
 def score_table(scored: DataFrame, label: str = "label", score: str = "score", descending: bool = True,
-                bins: int | None = None) -> DataFrame:
+                bins: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it and strictly before it."""
     pos = (F.col(label) == 1).cast("long")
-    offs = rank_offsets(scored, score, descending=descending, bins=bins,
+    offs = rank_offsets(scored, score, descending=descending, bins=bins, by=by,
                         sums={"pos": pos, "neg": F.lit(1).cast("long") - pos})
-    return offs.select(score, "pos", "neg", "pos_before", "neg_before")
+    return offs.select(*by, score, "pos", "neg", "pos_before", "neg_before")
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None,
+            by: tuple[str, ...] = ()) -> DataFrame:
     """Exact area under the ROC curve (rank-sum with tie-averaged ranks)."""
-    t = score_table(scored, label, score, descending=False, bins=bins)
-    agg = t.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5))).alias("_u"),
+    t = score_table(scored, label, score, descending=False, bins=bins, by=by)
+    agg = t.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5))).alias("_u"),
                 F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return agg.select(safe_div("_u", F.col("_p") * F.col("_n")).alias("roc_auc"),
+    return agg.select(*by, safe_div("_u", F.col("_p") * F.col("_n")).alias("roc_auc"),
                       F.col("_p").alias("positives"), F.col("_n").alias("negatives"))
 
 
-def average_precision(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:
+def average_precision(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None,
+                      by: tuple[str, ...] = ()) -> DataFrame:
     """Step-sum average precision, sum over thresholds of
     (recall step) x precision, thresholds in descending score order."""
-    t = score_table(scored, label, score, descending=True, bins=bins)
+    t = score_table(scored, label, score, descending=True, bins=bins, by=by)
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
-    agg = t.agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("_s"), F.sum("pos").alias("_p"))
-    return agg.select(safe_div("_s", "_p").alias("average_precision"))
+    agg = t.groupBy(*by).agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("_s"), F.sum("pos").alias("_p"))
+    return agg.select(*by, safe_div("_s", "_p").alias("average_precision"))
 
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score", bins: int | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def feature_names(model) -> list[str]:
     names = [f"num__{c}" for c in NUMERIC]
     indexers = [s for s in model.stages if hasattr(s, "labelsArray")]
     for c, idx in zip(NOMINAL, indexers):
-        names += [f"nom__{c}_{lvl}" for lvl in idx.labelsArray[0]]
+        names += [f"nom__{c}_{lvl}" for lvl in idx.labelsArray[0]] + [f"nom__{c}_?"]     # the slot of unknown levels
     return names + ["ord__income_band"]
 
 

@@ -1,34 +1,35 @@
-"""Response (conversion propensity) model with Spark ML.
+"""Response (conversion propensity) model (G5, G6, G9, G10), fitted by ``logistic``.
 
 Balanced-class L2 logistic regression. The reference minimises
 0.5*|w|^2 + C * sum(s_i * loss_i) with balanced sample weights (sum s = n); Spark
 minimises mean weighted loss + regParam * 0.5*|w|^2, so regParam = 1 / (C * n)
 with standardization off (inputs are already scaled). Spark's StandardScaler
 divides by the sample std, sklearn by the population std (factor
-sqrt((n-1)/n)). L-BFGS runs distributed: one pass over the cached training
-rows per iteration.
+sqrt((n-1)/n)). ``fit_pipeline`` is the same model as a Spark ML pipeline.
 """
 
 from __future__ import annotations
 
+import statistics
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.functions.numeric import safe_div
 
 from adlift.operators.curves import average_precision, roc_auc
-from adlift.operators.features import (FeatureConstants, encoder_stages, feature_names, fit_feature_constants,
+from adlift.operators.features import (FEATURES, FeatureConstants, encoder_stages, fit_feature_constants,
                                        stratified_folds, stratified_split, training_frame, with_ordinal)
+from adlift.operators.logistic import Logistic, fit_logistic
 
 
 @dataclass
 class ResponseModel:
-    pipeline: PipelineModel
+    logistic: Logistic
     constants: FeatureConstants
 
 
@@ -39,13 +40,13 @@ def _balanced(df: DataFrame) -> DataFrame:
                         .otherwise(safe_div("_n", 2.0 * (F.col("_n") - F.col("_p"))))).drop("_n", "_p")
 
 
-def fit_pipeline(train: DataFrame, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
+def fit_pipeline(train: DataFrame, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6) -> PipelineModel:
     """Encoders + balanced logistic regression fitted on ``train`` (label column ``label``)."""
     weighted = _balanced(with_ordinal(train)).cache()
     n = weighted.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-6)
+                            maxIter=max_iter, tol=tol)
     model = Pipeline(stages=[*encoder_stages(), lr]).fit(weighted)
     weighted.unpersist()
     return model
@@ -59,10 +60,9 @@ def score(model: ResponseModel, df: DataFrame, refit_normalisers: bool = False)
     feats = with_ordinal(training_frame(df.withColumn("converted", F.coalesce(F.col("converted"), F.lit(0)))
                                         if "converted" in df.columns else df.withColumn("converted", F.lit(0)),
                                         constants=consts))
-    out = model.pipeline.transform(feats)
-    p = vector_to_array(F.col("probability")).getItem(1)
-    keys = [k for k in ("customer_id", "campaign_id") if k in out.columns]
-    return out.select(*keys, "label", p.alias("score"), (p > 0.5).cast("int").alias("predicted"))
+    p = model.logistic.probability()
+    keys = [k for k in ("customer_id", "campaign_id") if k in feats.columns]
+    return feats.select(*keys, "label", p.alias("score"), (p > 0.5).cast("int").alias("predicted"))
 
 
 def with_probability(model: ResponseModel, df: DataFrame, name: str) -> DataFrame:
@@ -70,57 +70,59 @@ def with_probability(model: ResponseModel, df: DataFrame, name: str) -> DataFram
     target = F.coalesce(F.col("converted"), F.lit(0)) if "converted" in df.columns else F.lit(0)
     packed = df.withColumn("_row", F.struct(*df.columns)).withColumn("converted", target)
     feats = with_ordinal(training_frame(packed, constants=model.constants, keep=("_row",)))
-    p = vector_to_array(F.col("probability")).getItem(1)
-    return model.pipeline.transform(feats).select("_row.*", p.alias(name))
+    return feats.select("_row.*", model.logistic.probability().alias(name))
+
+
+def model_frame(df: DataFrame, constants: FeatureConstants, group: str, test_share: float, seed: int, folds: int) -> DataFrame:
+    """The features of one group of rows with _group and _fold; test rows have no fold."""
+    frame = with_ordinal(stratified_split(training_frame(df, constants=constants), seed=seed, test_share=test_share))
+    train = frame.where(F.col("split") == "train")
+    train = stratified_folds(train, folds, seed=seed + 1) if folds > 1 else train.withColumn("_fold", F.lit(0))
+    test = frame.where(F.col("split") == "test").withColumn("_fold", F.lit(None).cast("int"))
+    return train.unionByName(test).select(F.lit(group).alias("_group"), "_fold", "label", *FEATURES, "_income_ord")
+
+
+def fit_responses(groups: dict[str, DataFrame], test_share: float = 0.2, seed: int = 42, folds: int = 5, c: float = 1.0,
+                  max_iter: int = 1000) -> tuple[dict[str, ResponseModel], DataFrame]:
+    """G5 + G7 + G8 + G9 for several groups of rows at once: a model a group on its training part, evaluated on its test
+    part, and k-fold AUC on the training part. All fits share their passes, and all curves one rank table. Returns the
+    models and a metrics row a group (model, roc_auc, avg_precision, cv_mean, cv_std, n_train, n_test)."""
+    constants = {g: fit_feature_constants(df) for g, df in groups.items()}
+    frames = [model_frame(df, constants[g], g, test_share, seed, folds) for g, df in groups.items()]
+    frame = reduce(DataFrame.unionByName, frames).checkpoint()      # read once a step
+    keys = [(g, out) for g in groups for out in [None, *(range(folds) if folds > 1 else [])]]
+    fitted = fit_logistic(frame.where("_fold is not null"), keys, c=c, max_iter=max_iter)
+    score = F.lit(None).cast("double")
+    for (g, out), model in fitted.items():
+        held = F.col("_fold").isNull() if out is None else F.col("_fold") == out
+        score = F.when((F.col("_group") == g) & held, model.probability()).otherwise(score)
+    scored = frame.select("_group", F.coalesce("_fold", F.lit(-1)).alias("_fold"), "label", score.alias("score")).checkpoint()
+    auc = {(r["_group"], r["_fold"]): r["roc_auc"] for r in roc_auc(scored, by=("_group", "_fold")).collect()}
+    ap = {r["_group"]: r["average_precision"] for r in average_precision(scored.where("_fold = -1"), by=("_group",)).collect()}
+    sizes = {r["_group"]: r for r in scored.groupBy("_group").agg(
+        F.count_if(F.col("_fold") >= 0).alias("train"), F.count_if(F.col("_fold") < 0).alias("test")).collect()}
+    rows = []
+    for g in groups:
+        cv = [auc[g, k] for k in range(folds) if auc.get((g, k)) is not None] if folds > 1 else []
+        rows.append((g, auc.get((g, -1)), ap.get(g), statistics.fmean(cv) if cv else None, statistics.pstdev(cv) if cv else None,
+                     sizes[g]["train"] if g in sizes else 0, sizes[g]["test"] if g in sizes else 0))
+    spark = frame.sparkSession
+    metrics = spark.createDataFrame(rows, "model string, roc_auc double, avg_precision double, cv_mean double, cv_std double, "
+                                          "n_train long, n_test long")
+    return {g: ResponseModel(fitted[g, None], constants[g]) for g in groups}, metrics
 
 
 def fit_response(df: DataFrame, test_share: float = 0.2, seed: int = 42, folds: int = 5,
                  c: float = 1.0, max_iter: int = 1000) -> tuple[ResponseModel, DataFrame]:
-    """G5 + G7 + G8 + G9: fit on the training part, evaluate on the test part,
-    k-fold AUC on the training part. Returns the model and a one-row metrics
-    frame (roc_auc, avg_precision, cv_mean, cv_std, n_train, n_test)."""
-    constants = fit_feature_constants(df)
-    frame = stratified_split(training_frame(df, constants=constants), seed=seed, test_share=test_share).cache()
-    train, test = frame.where(F.col("split") == "train"), frame.where(F.col("split") == "test")
-    pipe = fit_pipeline(train, c=c, max_iter=max_iter)
-    model = ResponseModel(pipe, constants)
-    scored = _score_frame(pipe, test)
-    auc = roc_auc(scored).first()["roc_auc"]
-    ap = average_precision(scored).first()["average_precision"]
-    import statistics
-    fold_auc = cv_auc(train, folds=folds, seed=seed, c=c, max_iter=max_iter) if folds > 1 else []
-    cv_mean = statistics.fmean(fold_auc) if fold_auc else None
-    cv_std = statistics.pstdev(fold_auc) if fold_auc else None
-    spark = df.sparkSession
-    metrics = spark.createDataFrame(
-        [(float(auc), float(ap), cv_mean, cv_std, train.count(), test.count())],
-        "roc_auc double, avg_precision double, cv_mean double, cv_std double, n_train long, n_test long")
-    frame.unpersist()
-    return model, metrics
-
-
-def _score_frame(pipe: PipelineModel, frame: DataFrame) -> DataFrame:
-    out = pipe.transform(with_ordinal(frame))
-    return out.select("label", vector_to_array(F.col("probability")).getItem(1).alias("score"))
-
-
-def cv_auc(train: DataFrame, folds: int = 5, seed: int = 42, c: float = 1.0, max_iter: int = 1000) -> list[float]:
-    """K-fold AUC (stratified folds by key hash); each fold is a distributed fit."""
-    f = stratified_folds(train, folds, seed=seed + 1)
-    out = []
-    for k in range(folds):
-        model = fit_pipeline(f.where(F.col("_fold") != k), c=c, max_iter=max_iter)
-        out.append(float(roc_auc(_score_frame(model, f.where(F.col("_fold") == k))).first()["roc_auc"]))
-    return out
+    """``fit_responses`` for one group: the model and its metrics row."""
+    models, metrics = fit_responses({"all": df}, test_share, seed, folds, c, max_iter)
+    return models["all"], metrics.drop("model")
 
 
 def feature_importance(model: ResponseModel, top_n: int | None = None) -> DataFrame:
     """Coefficients with names, by absolute size, with a plain-words reading."""
-    pipe = model.pipeline
-    coefs = pipe.stages[-1].coefficients.toArray().tolist()
-    names = feature_names(pipe)
-    rows = [(n, float(cf), abs(float(cf))) for n, cf in zip(names, coefs)]
-    spark = SparkSessionFrom(pipe)
+    rows = [(n, float(cf), abs(float(cf))) for n, cf in zip(model.logistic.names(), model.logistic.coefficients, strict=True)]
+    spark = SparkSession.getActiveSession()
     df = spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double")
     df = df.withColumn("reading", F.format_string(
         "%s has a %s, %s weight of %.3f", F.col("feature"),
@@ -128,8 +130,3 @@ def feature_importance(model: ResponseModel, top_n: int | None = None) -> DataFr
         F.when(F.col("coefficient") > 0, "positive").otherwise("negative"), F.col("coefficient")))
     df = df.orderBy(F.col("abs_coefficient").desc(), "feature")
     return df.limit(top_n) if top_n else df
-
-
-def SparkSessionFrom(_model):  # noqa: N802
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()

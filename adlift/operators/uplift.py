@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adlift.functions.guards import require_columns
 from adlift.functions.ranking import exact_medians, top_n_rows
-from adlift.operators.response import ResponseModel, fit_response, with_probability
+from adlift.operators.response import ResponseModel, fit_responses, with_probability
 
 log = logging.getLogger(__name__)
 
@@ -44,11 +44,8 @@ def fit_uplift(df: DataFrame, seed: int = 42, folds: int = 5, max_iter: int = 10
                    F.count_if(F.col("treatment_group") == 0).alias("c")).first()
     if sizes["t"] < 100 or sizes["c"] < 100:
         log.warning("Small group sizes: treatment=%d, control=%d.", sizes["t"], sizes["c"])
-    tm, tmet = fit_response(t, seed=seed, folds=folds, max_iter=max_iter)
-    cm, cmet = fit_response(c, seed=seed, folds=folds, max_iter=max_iter)
-    metrics = (tmet.select(F.lit("treatment").alias("model"), "*")
-               .unionByName(cmet.select(F.lit("control").alias("model"), "*")))
-    return UpliftModels(tm, cm, metrics)
+    models, metrics = fit_responses({"treatment": t, "control": c}, seed=seed, folds=folds, max_iter=max_iter)
+    return UpliftModels(models["treatment"], models["control"], metrics)
 
 
 def score_uplift(models: UpliftModels, df: DataFrame) -> DataFrame:
