@@ -18,11 +18,13 @@ levels, unknown levels are zero, and a missing number counts as the mean.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ from adlift.operators.features import NOMINAL, NUMERIC
 
 Key = tuple[str, int | None]     # group, fold left out
 
+# tasks get these functions by value, so executors need numpy and pyarrow but not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Logistic:
@@ -71,6 +76,42 @@ def _moments(frame: DataFrame, keys: list[Key]) -> dict[Key, tuple[float, float,
     return out
 
 
+def _arrays(batch: pa.RecordBatch, levels: dict[str, list[str]]) -> tuple[np.ndarray, ...]:
+    """Numbers as they are, the other inputs with a last column of ones, labels, groups, and folds (NaN for null)."""
+    at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    raw = np.column_stack([at[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in NUMERIC])
+    hot = [np.array(at[c].to_pylist(), dtype=object)[:, None] == np.array(levels[c], dtype=object)[None, :] for c in NOMINAL]
+    rest = np.column_stack([*hot, at["_income_ord"].to_numpy(zero_copy_only=False), np.ones(len(raw))]).astype(float)
+    return (raw, rest, at["label"].to_numpy(zero_copy_only=False).astype(float), np.array(at["_group"].to_pylist(), dtype=object),
+            at["_fold"].cast(pa.float64()).to_numpy(zero_copy_only=False))
+
+
+def _design(model: Logistic, raw: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.nan_to_num((raw - model.mean) * model.scale), rest])
+
+
+def held_out_scores(frame: DataFrame, models: dict[Key, Logistic]) -> DataFrame:
+    """_group, _fold, label, score: each row by the model that left its fold out, rows without a fold by the whole model."""
+    levels = next(iter(models.values())).levels
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, rest, _, group, fold = _arrays(batch, levels)
+            out = np.full(len(raw), np.nan)
+            for (g, without), own in models.items():
+                rows = np.flatnonzero((group == g) & (np.isnan(fold) if without is None else fold == without))
+                eta = _design(own, raw[rows], rest[rows]) @ np.array([*own.coefficients, own.intercept])
+                out[rows] = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_group", "_fold", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, mask=np.isnan(out))], names=["_group", "_fold", "label", "score"])
+    return _inputs(frame).mapInArrow(score, "_group string, _fold int, label double, score double")
+
+
+def _inputs(frame: DataFrame) -> DataFrame:
+    return frame.select("_group", "_fold", F.col("label").cast("double").alias("label"), *NUMERIC, *NOMINAL,
+                        F.col("_income_ord").cast("double").alias("_income_ord"))
+
+
 def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tuple[float, float]]) -> dict[Key, tuple[float, np.ndarray, np.ndarray]]:
     """Weighted loss, gradient and Hessian sums of every model at its coefficients: one pass, summed by model and entry."""
     order = list(models)
@@ -81,18 +122,13 @@ def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tupl
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(order), 1 + size + len(upper[0])))
         for batch in batches:
-            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            raw = np.column_stack([at[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in NUMERIC])
-            hot = [np.array(at[c].to_pylist(), dtype=object)[:, None] == np.array(first.levels[c], dtype=object)[None, :] for c in NOMINAL]
-            rest = np.column_stack([*hot, at["_income_ord"].to_numpy(zero_copy_only=False), np.ones(len(raw))]).astype(float)
-            y = at["label"].to_numpy(zero_copy_only=False).astype(float)
-            group, fold = np.array(at["_group"].to_pylist(), dtype=object), at["_fold"].to_numpy(zero_copy_only=False)
+            raw, rest, y, group, fold = _arrays(batch, first.levels)
             for m, key in enumerate(order):
                 rows = np.flatnonzero((group == key[0]) & (True if key[1] is None else fold != key[1]))
                 if not len(rows):
                     continue
                 own, yy = models[key], y[rows]
-                x = np.column_stack([np.nan_to_num((raw[rows] - own.mean) * own.scale), rest[rows]])
+                x = _design(own, raw[rows], rest[rows])
                 eta = x @ np.array([*own.coefficients, own.intercept])
                 p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
                 w = np.where(yy == 1, *weights[key])
@@ -118,8 +154,7 @@ def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tupl
 def fit_logistic(frame: DataFrame, keys: list[Key], c: float = 1.0, max_iter: int = 50, tol: float = 1e-9) -> dict[Key, Logistic]:
     """Fits a model for every (group, left-out fold) on ``frame``: _group, _fold, label, the feature columns and
     ``_income_ord``; it is read once a step, so pass a written table."""
-    frame = frame.select("_group", "_fold", F.col("label").cast("double").alias("label"), *NUMERIC, *NOMINAL,
-                         F.col("_income_ord").cast("double").alias("_income_ord"))
+    frame = _inputs(frame)
     found = frame.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in NOMINAL]).first()     # the levels of fixed domains
     levels = {n: list(found[n]) for n in NOMINAL}
     size = len(NUMERIC) + sum(map(len, levels.values())) + 1

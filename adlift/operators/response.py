@@ -24,7 +24,7 @@ from adlift.functions.numeric import safe_div
 from adlift.operators.curves import average_precision, roc_auc
 from adlift.operators.features import (FEATURES, FeatureConstants, encoder_stages, fit_feature_constants,
                                        stratified_folds, stratified_split, training_frame, with_ordinal)
-from adlift.operators.logistic import Logistic, fit_logistic
+from adlift.operators.logistic import Logistic, fit_logistic, held_out_scores
 
 
 @dataclass
@@ -92,11 +92,7 @@ def fit_responses(groups: dict[str, DataFrame], test_share: float = 0.2, seed: i
     frame = reduce(DataFrame.unionByName, frames).checkpoint()      # read once a step
     keys = [(g, out) for g in groups for out in [None, *(range(folds) if folds > 1 else [])]]
     fitted = fit_logistic(frame.where("_fold is not null"), keys, c=c, max_iter=max_iter)
-    score = F.lit(None).cast("double")
-    for (g, out), model in fitted.items():
-        held = F.col("_fold").isNull() if out is None else F.col("_fold") == out
-        score = F.when((F.col("_group") == g) & held, model.probability()).otherwise(score)
-    scored = frame.select("_group", F.coalesce("_fold", F.lit(-1)).alias("_fold"), "label", score.alias("score")).checkpoint()
+    scored = held_out_scores(frame, fitted).withColumn("_fold", F.coalesce("_fold", F.lit(-1))).checkpoint()
     auc = {(r["_group"], r["_fold"]): r["roc_auc"] for r in roc_auc(scored, by=("_group", "_fold")).collect()}
     ap = {r["_group"]: r["average_precision"] for r in average_precision(scored.where("_fold = -1"), by=("_group",)).collect()}
     sizes = {r["_group"]: r for r in scored.groupBy("_group").agg(
