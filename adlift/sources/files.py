@@ -19,6 +19,10 @@ from adlift.sources.schema import schema_for
 TABLES = ("customers", "campaigns", "exposures", "outcomes")
 
 
+#: Keys of the two fact tables.
+FACT_KEYS = ("customer_id", "campaign_id")
+
+
 def read_csv_table(spark: SparkSession, path: str, table: str,
                    id_type: T.DataType = T.StringType()) -> DataFrame:
     """A1: read one header CSV and bind its columns by name to the typed schema.
@@ -38,24 +42,26 @@ def read_campaign_csvs(spark: SparkSession, directory: str,
     return CampaignTables(**{t: read_csv_table(spark, f"{d}/{t}.csv", t, id_type) for t in TABLES})
 
 
-def load_tables(tables: CampaignTables, base: str, fmt: str = "parquet",
-                bucket_customers: int | None = None) -> None:
-    """A2: write the typed tables. With ``bucket_customers`` set, exposures and
-    outcomes are bucketed by customer_id into that many buckets so the
-    attribution joins read co-partitioned files instead of shuffling them.
-    """
-    for t in TABLES:
-        df = getattr(tables, t)
-        w = df.write.mode("overwrite").format(fmt)
-        if bucket_customers and t in ("exposures", "outcomes"):
-            w.bucketBy(bucket_customers, "customer_id").sortBy("customer_id") \
-             .option("path", f"{base.rstrip('/')}/{t}").saveAsTable(t)
-        else:
-            w.save(f"{base.rstrip('/')}/{t}")
+def save_bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Write a fact frame as a catalog table in ``buckets`` files by (customer_id, campaign_id), and read it: joins and
+    aggregates on both keys then need no shuffle."""
+    (df.repartition(buckets, *FACT_KEYS).write.mode("overwrite").format("parquet").bucketBy(buckets, *FACT_KEYS)
+     .sortBy(*FACT_KEYS).option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
 
 
-def read_tables(spark: SparkSession, base: str, fmt: str = "parquet") -> CampaignTables:
-    return CampaignTables(**{t: spark.read.format(fmt).load(f"{base.rstrip('/')}/{t}") for t in TABLES})
+def load_tables(tables: CampaignTables, base: str, buckets: int | None = None, prefix: str = "campaign") -> CampaignTables:
+    """A2: write the typed tables under ``base`` and read them back. With ``buckets``, exposures and outcomes become
+    catalog tables <prefix>_exposures and <prefix>_outcomes, co-partitioned by (customer_id, campaign_id)."""
+    out = {}
+    for t in TABLES:
+        df, path = getattr(tables, t), f"{base.rstrip('/')}/{t}"
+        if buckets and t in ("exposures", "outcomes"):
+            out[t] = save_bucketed(df, f"{prefix}_{t}", path, buckets)
+        else:
+            df.write.mode("overwrite").parquet(path)
+            out[t] = df.sparkSession.read.parquet(path)
+    return CampaignTables(**out)
 
 
 def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:

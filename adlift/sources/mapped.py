@@ -150,8 +150,9 @@ def campaign_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
 
     With ``materialize`` (default) they are derived once per application and
     written as parquet under the shared checkpoint folder (the "load" step of
-    the pipeline: a written table cuts lineage and survives executor loss);
-    later calls read those files. Otherwise the lazy derivation is returned.
+    the pipeline: a written table cuts lineage and survives executor loss), the
+    facts in buckets by (customer_id, campaign_id) so that joining exposures to
+    outcomes needs no shuffle; later calls read those files. Otherwise the lazy derivation is returned.
     """
     if not materialize:
         return derive_campaign_tables(spark, sf_dir)
@@ -160,19 +161,20 @@ def campaign_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
     from adlift.session import scratch_path
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     base = _MATERIALIZED.get(key)
+    tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
     if base is None:
-        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
         base = scratch_path(spark, f"campaign_tables/{key[0]}/{tag}")
         t = derive_campaign_tables(spark, sf_dir)
         # exposures and outcomes share one aggregate: write it once, project twice
         eng = engagements_from(read_driver_table(spark, sf_dir, "lineitem"),
                                read_driver_table(spark, sf_dir, "orders"),
                                read_driver_table(spark, sf_dir, "part"))
-        eng.write.mode("overwrite").parquet(f"{base}/engagements")
+        from adlift.sources.files import save_bucketed
+        save_bucketed(eng, f"engagements_{tag}", f"{base}/engagements", int(spark.conf.get("spark.sql.shuffle.partitions")))
         t.customers.write.mode("overwrite").parquet(f"{base}/customers")
         t.campaigns.write.mode("overwrite").parquet(f"{base}/campaigns")
         _MATERIALIZED[key] = base
-    eng = spark.read.parquet(f"{base}/engagements")
+    eng = spark.table(f"engagements_{tag}")
     channel = channel_of(F.col("m"))
     return CampaignTables(
         customers=spark.read.parquet(f"{base}/customers"),
