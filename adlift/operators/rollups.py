@@ -60,20 +60,23 @@ def campaign_lift(tables: CampaignTables) -> DataFrame:
 
 
 def channel_rollup(tables: CampaignTables) -> DataFrame:
-    """Treatment arm only, per exposure channel."""
+    """Treatment arm only, per exposure channel. Campaigns are counted over the sums per (channel, campaign), so
+    customers are the only distinct count over the facts and no row is expanded."""
     facts = exposure_outcomes(tables).where(F.col("treatment_group") == 1)
-    agg = facts.groupBy("channel").agg(
-        F.countDistinct("campaign_id").alias("num_campaigns"),
-        F.countDistinct("customer_id").alias("customers_reached"),
-        F.sum("converted").cast("bigint").alias("total_conversions"),
-        F.avg("converted").alias("_rate"),
-        F.sum("revenue_generated").cast("double").alias("_rev"),
-        F.sum("cost_per_contact").cast("double").alias("_cost"),
-    )
-    return (agg.select("channel", "num_campaigns", "customers_reached", "total_conversions",
-                       R(F.col("_rate") * 100, 2).alias("avg_conversion_rate"),
-                       R("_rev", 2).alias("total_revenue"), R("_cost", 2).alias("total_cost"),
-                       _simple_roi(F.col("_rev"), F.col("_cost")).alias("channel_roi_pct"))
+    cells = facts.groupBy("channel", "campaign_id").agg(
+        F.sum("converted").alias("_won"), F.count("converted").alias("_known"),
+        F.sum("revenue_generated").alias("_rev"), F.sum("cost_per_contact").alias("_cost"))
+    agg = cells.groupBy("channel").agg(
+        F.count("campaign_id").alias("num_campaigns"), F.sum("_won").cast("bigint").alias("total_conversions"),
+        safe_div(F.sum("_won"), F.sum("_known")).alias("_rate"),
+        F.sum("_rev").cast("double").alias("_rev"), F.sum("_cost").cast("double").alias("_cost"))
+    heads = facts.groupBy("channel").agg(F.countDistinct("customer_id").alias("customers_reached"))
+    same = F.col("s.channel").eqNullSafe(F.col("h.channel"))
+    return (agg.alias("s").join(heads.alias("h"), same)
+            .select("s.channel", "num_campaigns", "customers_reached", "total_conversions",
+                    R(F.col("_rate") * 100, 2).alias("avg_conversion_rate"),
+                    R("_rev", 2).alias("total_revenue"), R("_cost", 2).alias("total_cost"),
+                    _simple_roi(F.col("_rev"), F.col("_cost")).alias("channel_roi_pct"))
             .orderBy(F.col("channel_roi_pct").desc_nulls_last(), "channel"))
 
 
@@ -84,23 +87,25 @@ def spend_tier(col="historical_spend", high: float = 2000, medium: float = 1000)
 
 def spend_tier_performance(tables: CampaignTables) -> DataFrame:
     """Customers (exposed or not) -> exposures -> outcomes, per spend tier.
-    Averages are per joined row, as in the reference."""
+    Averages are per joined row, as in the reference. Customers are counted before any join, campaigns over the sums
+    per (tier, campaign)."""
     cust = tables.customers.select("customer_id", spend_tier().alias("customer_segment"))
+    heads = cust.groupBy("customer_segment").agg(F.countDistinct("customer_id").alias("customers"))
     e = tables.exposures.select("customer_id", "campaign_id")
     o = tables.outcomes.select("customer_id", "campaign_id", "converted", "revenue_generated")
-    joined = cust.join(e, "customer_id", "left").join(o, ["customer_id", "campaign_id"], "left")
-    agg = joined.groupBy("customer_segment").agg(
-        F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct("campaign_id").alias("campaigns_exposed_to"),
-        F.sum("converted").cast("bigint").alias("total_conversions"),
-        F.avg("converted").alias("_rate"),
-        F.sum("revenue_generated").cast("double").alias("_rev"),
-        F.count("revenue_generated").alias("_n_rev"),
-    )
-    return (agg.select("customer_segment", "customers", "campaigns_exposed_to", "total_conversions",
-                       R(F.col("_rate") * 100, 2).alias("conversion_rate_pct"),
-                       R("_rev", 2).alias("total_revenue"),
-                       R(safe_div("_rev", "_n_rev"), 2).alias("avg_revenue_per_customer"))
+    facts = e.join(o, ["customer_id", "campaign_id"], "left")
+    cells = cust.join(facts, "customer_id").groupBy("customer_segment", "campaign_id").agg(
+        F.sum("converted").alias("_won"), F.count("converted").alias("_known"),
+        F.sum("revenue_generated").alias("_rev"), F.count("revenue_generated").alias("_n_rev"))
+    agg = cells.groupBy("customer_segment").agg(
+        F.count("campaign_id").alias("_seen"), F.sum("_won").cast("bigint").alias("total_conversions"),
+        safe_div(F.sum("_won"), F.sum("_known")).alias("_rate"),
+        F.sum("_rev").cast("double").alias("_rev"), F.sum("_n_rev").alias("_n_rev"))
+    return (heads.join(agg, "customer_segment", "left")
+            .select("customer_segment", "customers", F.coalesce("_seen", F.lit(0)).alias("campaigns_exposed_to"),
+                    "total_conversions", R(F.col("_rate") * 100, 2).alias("conversion_rate_pct"),
+                    R("_rev", 2).alias("total_revenue"),
+                    R(safe_div("_rev", "_n_rev"), 2).alias("avg_revenue_per_customer"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), "customer_segment"))
 
 

@@ -7,17 +7,20 @@ DuckDB twin of every SQL-expressible query.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DecimalType
 
 from adlift.operators import attribution as A
 from adlift.functions.numeric import safe_div
 from adlift.operators import abtest, audience, budget, curves, features, journey, kpi, quality, roi, rollups
 from adlift.operators import response, report, sweep, uplift
+from adlift.session import scratch_path
+from adlift.sources import files
 from adlift.sources.mapped import campaign_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,13 +116,69 @@ def _uplift_model_metrics(t):
 
 
 def _report(t):
-    r = roi.campaign_roi(t.exposures, t.outcomes)
+    r = _campaign_roi(t).checkpoint()   # a row per campaign, read by every section
     comparison = uplift.compare_targeting(_rule_scores(t))
     return report.executive_report(r, roi.channel_performance(r), comparison)
 
 
+def _folder(t, name: str) -> str:
+    """A folder of its own in the shared folder for every run of a registered sink: no run overwrites what another reads."""
+    return scratch_path(t.exposures.sparkSession, f"sinks/{name}-{uuid.uuid4().hex}")
+
+
+def _csv_load(table: str):
+    """The whole table written as CSV files and read back, bound by header name."""
+    def run(t):
+        paths = files.export_results({table: getattr(t, table)}, _folder(t, "csv"), fmt="csv")
+        return files.read_csv_table(t.exposures.sparkSession, paths[table], table, T.LongType())
+    return run
+
+
+def _bucketed_load(t):
+    """A2: facts loaded in buckets and joined where they lie."""
+    buckets = int(t.exposures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    loaded = files.load_tables(t, _folder(t, "loaded"), buckets, prefix="loaded")
+    return kpi.exposure_outcomes(loaded)
+
+
+def _view_totals(t):
+    """A5: the four tables and a result as views, read by SQL text."""
+    t.register("marketing_")
+    files.register_view(_campaign_roi(t), "marketing_campaign_roi")
+    return t.exposures.sparkSession.sql("""
+        SELECT k.campaign_type, COUNT(*) AS campaigns, SUM(r.n_treatment + r.n_control) AS contacts,
+               CAST(SUM(CAST(r.total_cost AS DECIMAL(18,2))) AS DOUBLE) AS total_cost
+        FROM marketing_campaign_roi r JOIN marketing_campaigns k ON r.campaign_id = k.campaign_id
+        GROUP BY k.campaign_type""")
+
+
+def _exported_channels(t):
+    """Dashboard files; the channel file is read back."""
+    r = _campaign_roi(t)
+    paths = files.export_results({"campaign_performance": r, "channel_effectiveness": roi.channel_performance(r)},
+                                 _folder(t, "dashboard"), single_file=("channel_effectiveness",))
+    return t.exposures.sparkSession.read.parquet(paths["channel_effectiveness"])
+
+
+def _report_file(t):
+    """The report written as text and read back; its lines."""
+    path = _folder(t, "report")
+    files.write_report_text(_report(t), path)
+    return t.exposures.sparkSession.read.text(path).select(F.col("value").alias("text"))
+
+
 def queries() -> dict[str, Query]:
     reg: dict[str, Query] = {
+        # A: loads and sinks, written and read back
+        "load_csv_customers": _t(_csv_load("customers")),
+        "load_csv_campaigns": _t(_csv_load("campaigns")),
+        "load_csv_exposures": _t(_csv_load("exposures")),
+        "load_csv_outcomes": _t(_csv_load("outcomes")),
+        "load_bucketed_facts": _t(_bucketed_load),
+        "materialized_kpis": _t(lambda t: files.materialize(kpi.campaign_kpis(t), f"campaign_kpis-{uuid.uuid4().hex}")),
+        "view_type_totals": _t(_view_totals),
+        "export_channels": _t(_exported_channels),
+        "report_file": _t(_report_file),
         # B: data quality
         "dq_row_counts": _t(quality.row_counts),
         "dq_null_keys": _t(quality.null_keys),
@@ -229,6 +288,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from adlift.plans import oracle
     out: dict[str, str] = {}
-    for part in (oracle.B, oracle.E, oracle.D, oracle.F_, oracle.G, oracle.H):
+    for part in (oracle.A, oracle.B, oracle.E, oracle.D, oracle.F_, oracle.G, oracle.H):
         out.update(part)
     return out

@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 KEYS = ["campaign_kpis", "channel_kpis", "kpi_weekly", "campaign_rollup", "spend_tier_performance",
         "budget_by_simple_roi", "dq_domain_violations", "attr_last_touch", "attr_linear_campaign",
         "attr_time_decay_campaign", "journey_sequences", "channel_mix", "campaign_roi", "ab_all_campaigns",
-        "ab_min_sample_size", "ab_revenue", "ab_campaign_test", "ab_messages", "uplift_segments", "roc_auc", "audience_sample", "assign_arms", "modeling_base"]
+        "ab_min_sample_size", "ab_revenue", "ab_campaign_test", "ab_messages", "uplift_segments", "roc_auc", "audience_sample", "assign_arms", "modeling_base",
+        "channel_rollup", "executive_report", "report_file", "load_csv_customers", "load_csv_outcomes", "load_bucketed_facts",
+        "materialized_kpis", "view_type_totals", "export_channels"]
 
 
 def _norm(v):
