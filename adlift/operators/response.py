@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from adlift.functions.numeric import safe_div
 
-from adlift.operators.curves import average_precision, roc_auc
+from adlift.operators.curves import auc_of, precision_of, score_table
 from adlift.operators.features import (FEATURES, FeatureConstants, encoder_stages, fit_feature_constants,
                                        stratified_folds, stratified_split, training_frame, with_ordinal)
 from adlift.operators.logistic import Logistic, fit_logistic, held_out_scores
@@ -93,8 +93,10 @@ def fit_responses(groups: dict[str, DataFrame], test_share: float = 0.2, seed: i
     keys = [(g, out) for g in groups for out in [None, *(range(folds) if folds > 1 else [])]]
     fitted = fit_logistic(frame.where("_fold is not null"), keys, c=c, max_iter=max_iter)
     scored = held_out_scores(frame, fitted).withColumn("_fold", F.coalesce("_fold", F.lit(-1))).checkpoint()
-    auc = {(r["_group"], r["_fold"]): r["roc_auc"] for r in roc_auc(scored, by=("_group", "_fold")).collect()}
-    ap = {r["_group"]: r["average_precision"] for r in average_precision(scored.where("_fold = -1"), by=("_group",)).collect()}
+    by = ("_group", "_fold")
+    table = score_table(scored, by=by).checkpoint()
+    auc = {(r["_group"], r["_fold"]): r["roc_auc"] for r in auc_of(table, by).collect()}
+    ap = {r["_group"]: r["average_precision"] for r in precision_of(table.where("_fold = -1"), by).collect()}
     sizes = {r["_group"]: r for r in scored.groupBy("_group").agg(
         F.count_if(F.col("_fold") >= 0).alias("train"), F.count_if(F.col("_fold") < 0).alias("test")).collect()}
     rows = []

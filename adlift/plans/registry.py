@@ -104,10 +104,20 @@ def _audience_sample(t):
     return audience.audience_sample(t.customers, n, seed=42).select("customer_id", "sample_key")
 
 
-def _uplift_models(t):
+def _fitted_scores(t):
+    """Every row with the probabilities of the two fitted models, written: the readers below pass over it several times."""
     base = roi.modeling_base(t)
-    models = uplift.fit_uplift(base, folds=0)
-    return uplift.segment_customers(uplift.score_uplift(models, base)).select(
+    return uplift.score_uplift(uplift.fit_uplift(base, folds=0), base).checkpoint()
+
+
+def _fitted_report(t):
+    """The report with the fitted models' targeting, as the whole analysis runs it."""
+    r = _campaign_roi(t).checkpoint()
+    return report.executive_report(r, roi.channel_performance(r), uplift.compare_targeting(_fitted_scores(t)))
+
+
+def _uplift_models(t):
+    return uplift.segment_customers(_fitted_scores(t)).select(
         "customer_id", "campaign_id", "treatment_prob", "control_prob", "uplift_score", "segment")
 
 
@@ -258,10 +268,14 @@ def queries() -> dict[str, Query]:
         "feature_importance": _t(lambda t: response.feature_importance(
             response.fit_response(roi.modeling_base(t, treatment_only=True), folds=0)[0])),
         "uplift_models": _t(_uplift_models),
+        "fitted_segment_summary": _t(lambda t: uplift.segment_summary(uplift.segment_customers(_fitted_scores(t)))),
+        "fitted_targeting": _t(lambda t: uplift.compare_targeting(_fitted_scores(t))),
+        "fitted_report": _t(_fitted_report),
         "uplift_model_metrics": _t(_uplift_model_metrics),
         "uplift_stats": _t(lambda t: uplift.uplift_stats(_rule_scores(t))),
         "roc_auc": _t(lambda t: curves.roc_auc(_labelled(t))),
         "average_precision": _t(lambda t: curves.average_precision(_labelled(t))),
+        "curve_summary": _t(lambda t: curves.curve_summary(_labelled(t))),
         "roc_points": _t(lambda t: curves.roc_points(_labelled(t))),
         "pr_points": _t(lambda t: curves.pr_points(_labelled(t))),
         "uplift_segments": _t(lambda t: _segmented(t).select(

@@ -32,3 +32,20 @@ def test_ranks_of_integers_beyond_double_precision(spark):
     df = spark.range(100).select((F.col("id") + big).alias("v"))
     got = {r.v: r.n_before for r in rank_offsets(df, "v", bins=4).collect()}
     assert got == {big + i: i for i in range(100)}
+
+
+def test_fitted_targeting_against_pandas(spark, tables):
+    base = roi.modeling_base(tables)
+    scored = uplift.score_uplift(uplift.fit_uplift(base, folds=0), base).checkpoint()
+    got, rows = uplift.compare_targeting(scored).first(), scored.toPandas()
+    n, value = int(len(rows) * 0.3), rows[rows.converted == 1].revenue_generated.astype(float).mean()
+
+    def best(col):
+        return rows.sort_values([col, "customer_id", "campaign_id"], ascending=[False, True, True]).head(n).uplift_score.sum() * value
+    assert abs(got.response_model_revenue - best("treatment_prob")) < 1e-6 * abs(value)
+    assert abs(got.uplift_model_revenue - best("uplift_score")) < 1e-6 * abs(value)
+    assert got.n_targeted == n and got.uplift_model_revenue >= got.response_model_revenue
+    parts = {r.segment: r.customer_count for r in uplift.segment_summary(uplift.segment_customers(scored)).collect()}
+    high = (rows.treatment_prob > rows.treatment_prob.median(), rows.control_prob > rows.control_prob.median())
+    assert parts["Persuadables"] == (high[0] & ~high[1]).sum() and parts["Sleeping Dogs"] == (~high[0] & high[1]).sum()
+    assert sum(parts.values()) == len(rows)
