@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlift.llm.common import map_rows, mix, small_batches, word_hashes, written
+from adlift.llm.common import map_rows, mix, small_batches, smallest, word_hashes, written
 
 TREES = 100
 TREE_ROWS = 256
@@ -138,8 +138,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     stats = map_rows(docs, schema, make).withColumn("base_failed", F.expr(
         f"n_words < {least_words} or 100 * n_repeat_words > {most_repeated} * n_words"))
     stats = written(stats, "statistics")
-    sample = (stats.where("not base_failed").orderBy(F.xxhash64("doc_id", "n_words", "word_chars"), "doc_id")
-              .limit(TREES * TREE_ROWS).select("features").collect())
+    key = F.unhex(F.md5(F.concat_ws(",", "doc_id", "n_words", "word_chars")))
+    sample = smallest(stats.where("not base_failed").select(key.alias("key"), "features"), "key", TREES * TREE_ROWS).select("features").collect()
     forest = spark.sparkContext.broadcast(fit_forest(np.array([r.features for r in sample]).reshape(-1, len(FEATURES))))
 
     def scorer():
