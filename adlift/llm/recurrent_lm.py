@@ -7,9 +7,11 @@ word is one of ``TAIL`` classes, by its last byte. The network (a gated
 recurrent unit in numpy) predicts the next word's class and, inside a head
 class, the word; inside a tail class words follow absolutely discounted counts,
 whose discount is the share of unseen words. It is fitted by truncated
-backpropagation on all training documents. Every round, each task
-cuts its documents into shards and passes over each from the same weights; the
-weights are averaged, by tokens, in the task and then by a grouped sum.
+backpropagation on all training documents. Their symbols, two bytes each in
+parts of at most ``PART``, are dealt to shards of about ``SHARD`` tokens by a hash
+of the row; every round passes over each shard from the same weights, which are
+averaged by tokens with a grouped sum. Shards and the order in them follow from
+the rows alone, so the model does not depend on how the table is partitioned.
 
 Scoring runs whole documents in lanes, window by window, and carries the state
 across windows, so the score is that of the complete text. Counts of up to
@@ -37,10 +39,12 @@ HEAD = 2000
 TAIL = 16
 HIDDEN = 16
 WINDOW = 32
-LANES = 32
-ROUNDS = 3
+LANES = 128
+ROUNDS = 1
 DICT = 200_000
-SHARD = 200_000          # least tokens of a shard but a task's last
+SHARD = 1 << 20          # tokens of a shard, on average
+PART = 4096              # most symbols of a document in one part
+TASKS = 8192             # most tasks of a round; shards beyond follow each other in a task
 END = b""                # the end token; no word is empty
 
 
@@ -69,6 +73,7 @@ class Shape:
     """Symbols and classes: head words by falling count, then the tail classes."""
 
     def __init__(self, head: list[tuple[bytes, int]]):
+        self.counts = head
         self.head = {w: i for i, (w, _) in enumerate(head)}
         root = np.sqrt([n for _, n in head]) if head else np.empty(0)
         groups = max(1, int(len(head) ** 0.5))
@@ -125,134 +130,178 @@ def _cell(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np
     return c + z * (h - c), zr, c, hw[:, 2 * n:]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, at: np.ndarray, share: float | None) -> np.ndarray:
+    """Log softmax of column ``at`` of each row. With ``share``, x becomes the gradient of -share times their sum."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    if share is not None:
+        x *= (share / total)[:, None]
+        x[rows, at] -= share
+    return out - np.log(total)
 
 
 def log_probabilities(shape: Shape, p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray,
                       grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target symbol given its state; with ``grad``, adds the output gradients of
     the mean loss there and returns the states' gradient."""
-    kind, rows = shape.symbol_class(target), np.arange(len(target))
-    logc = _log_softmax(h @ p["wc"] + p["bc"])
-    out, dh = logc[rows, kind].astype(np.float64), None
+    kind = shape.symbol_class(target)
+    share = np.float32(1 / max(len(target), 1)) if grad is not None else None
+    d = h @ p["wc"]
+    d += p["bc"]
+    out, dh = _log_softmax_at(d, kind, share).astype(np.float64), None
     if grad is not None:
-        d = np.exp(logc)
-        d[rows, kind] -= 1
-        d /= len(target)
         grad["wc"] += h.T @ d
         grad["bc"] += d.sum(axis=0)
         dh = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")
     bounds = np.searchsorted(kind[order], np.arange(shape.classes + 1))
+    sorted_h, sorted_target = h[order], target[order]
     for c in range(shape.classes):
-        at = order[bounds[c]:bounds[c + 1]]
-        if not len(at):
+        i, j = bounds[c], bounds[c + 1]
+        if i == j:
             continue
         lo, hi = shape.first[c], shape.first[c + 1]
-        logw = _log_softmax(h[at] @ p["wo"][lo:hi].T + p["bo"][lo:hi])
-        word = target[at] - lo
-        out[at] += logw[np.arange(len(at)), word]
+        mine = sorted_h[i:j]
+        d = mine @ p["wo"][lo:hi].T
+        d += p["bo"][lo:hi]
+        out[order[i:j]] += _log_softmax_at(d, sorted_target[i:j] - lo, share)
         if grad is not None:
-            d = np.exp(logw)
-            d[np.arange(len(at)), word] -= 1
-            d /= len(target)
-            grad["wo"][lo:hi] += d.T @ h[at]
+            grad["wo"][lo:hi] += d.T @ mine
             grad["bo"][lo:hi] += d.sum(axis=0)
-            dh[at] += d @ p["wo"][lo:hi]
+            dh[order[i:j]] += d @ p["wo"][lo:hi]
     return out, dh
 
 
-def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], rate: float = 0.01) -> np.ndarray:
-    """One pass of truncated backpropagation (Adam) over documents laid out in lanes; states start anew with each document."""
+def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], before: list[int] | None = None, rate: float = 0.03) -> np.ndarray:
+    """One pass of truncated backpropagation (Adam) over documents, or parts that follow the symbols ``before``. They
+    stand one after the other in lanes of equal length; states start anew with each of them."""
     end = shape.head.get(END, len(shape.head))
-    lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-    length = np.zeros(LANES, dtype=np.int64)
-    for d in docs:
-        k = int(length.argmin())
-        lanes[k].append(d)
-        length[k] += len(d)
-    steps = int(length.max()) if len(docs) else 0
-    target = np.full((LANES, steps), -1, dtype=np.int64)
-    fresh = np.zeros((LANES, steps), dtype=bool)
-    for k, lane in enumerate(lanes):
-        at = 0
-        for d in lane:
-            target[k, at:at + len(d)] = d
-            fresh[k, at] = True
-            at += len(d)
-    source = np.concatenate((np.full((LANES, 1), end), target[:, :-1]), axis=1)
-    source[fresh | (source < 0)] = end
+    stream = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    lanes = int(np.clip(len(stream) // (64 * WINDOW), 8, LANES))      # small shards: fewer lanes, not fewer steps
+    steps = -(-len(stream) // lanes)
+    first = np.cumsum([0] + [len(d) for d in docs])[:-1]
+    target = np.full(lanes * steps, -1, dtype=np.int64)
+    target[:len(stream)] = stream
+    source = np.maximum(np.concatenate(([end], target[:-1])), 0)[:lanes * steps]
+    fresh = np.zeros(lanes * steps, dtype=bool)
+    fresh[first], source[first] = True, end if before is None else before
+    # a row per step
+    target, source, fresh = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in (target, source, fresh))
+    go_on = (~fresh).astype(np.float32)[:, :, None]
     flat = flat.copy()
     p, m, v = shape.split(flat), np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((LANES, HIDDEN), dtype=np.float32)
+    h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for step, t0 in enumerate(range(0, steps, WINDOW), 1):
-        span = range(t0, min(steps, t0 + WINDOW))
         g = np.zeros_like(flat)
         grad = shape.split(g)
-        table = p["emb"] @ p["wx"] + p["b"]
-        kept = []
-        for t in span:
-            before = np.where(fresh[:, t:t + 1], np.float32(0), h)
-            h, zr, c, hc = _cell(table[source[:, t]], before, p["wh"])
-            kept.append((before, zr, c, hc, h))
-        mask = target[:, span.start:span.stop].T.ravel() >= 0
-        states = np.concatenate([k[4] for k in kept])
+        src, n = source[t0:t0 + WINDOW], min(steps - t0, WINDOW)
+        xw = (p["emb"] @ p["wx"] + p["b"])[src]
+        kept, states = [], np.empty((n, lanes, HIDDEN), dtype=np.float32)
+        for t in range(n):
+            start = h * go_on[t0 + t]
+            h, zr, c, hc = _cell(xw[t], start, p["wh"])
+            kept.append((start, zr, c, hc))
+            states[t] = h
+        goal = target[t0:t0 + WINDOW].ravel()
+        mask = goal >= 0
+        states = states.reshape(-1, HIDDEN)
         dstate = np.zeros_like(states)
-        _, dstate[mask] = log_probabilities(shape, p, states[mask], target[:, span.start:span.stop].T.ravel()[mask], grad)
+        _, dstate[mask] = log_probabilities(shape, p, states[mask], goal[mask], grad)
+        dstate = dstate.reshape(n, lanes, HIDDEN)
         dh = np.zeros_like(h)
-        dtable = np.zeros_like(table)
-        for i in range(len(span) - 1, -1, -1):
-            before, zr, c, hc, _ = kept[i]
+        dx, back = np.empty((n, lanes, 3 * HIDDEN), np.float32), np.empty((n, lanes, 3 * HIDDEN), np.float32)
+        wh = np.ascontiguousarray(p["wh"].T)
+        for i in range(n - 1, -1, -1):
+            start, zr, c, hc = kept[i]
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            dh = dh + dstate[i * LANES:(i + 1) * LANES]
+            dh = dh + dstate[i]
+            gate = dh * (start - c)
             dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hc * r * (1 - r)
-            np.add.at(dtable, source[:, span[i]], np.concatenate((dz, dr, dc), axis=1))
-            back = np.concatenate((dz, dr, dc * r), axis=1)
-            grad["wh"] += before.T @ back
-            dh = (dh * z + back @ p["wh"].T) * ~fresh[:, span[i]:span[i] + 1]
-        grad["emb"] += dtable @ p["wx"].T
-        grad["wx"] += p["emb"].T @ dtable
-        grad["b"] += dtable.sum(axis=0)
-        g *= min(1.0, 5.0 / max(float(np.linalg.norm(g)), 1e-9))
-        m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        flat -= np.float32(rate) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+            dx[i, :, :HIDDEN] = gate
+            dx[i, :, HIDDEN:2 * HIDDEN] = dc * hc
+            dx[i, :, :2 * HIDDEN] *= zr * (1 - zr)
+            dx[i, :, 2 * HIDDEN:] = dc
+            back[i, :, :2 * HIDDEN] = dx[i, :, :2 * HIDDEN]
+            back[i, :, 2 * HIDDEN:] = dc * r
+            dh = (dh * z + back[i] @ wh) * go_on[t0 + i]
+        grad["wh"] += np.concatenate([k[0] for k in kept]).T @ back.reshape(-1, 3 * HIDDEN)
+        dx, src = dx.reshape(-1, 3 * HIDDEN), src.ravel()
+        grad["wx"] += p["emb"][src].T @ dx
+        grad["b"] += dx.sum(axis=0)
+        order = np.argsort(src.astype(np.int16), kind="stable")
+        at = np.flatnonzero(np.diff(src[order], prepend=-1))
+        grad["emb"][src[order][at]] += np.add.reduceat((dx @ p["wx"].T)[order], at, axis=0)
+        g *= np.float32(min(1.0, 5.0 / max(float(np.linalg.norm(g)), 1e-9)))
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.001) * (g * g - v)
+        flat -= np.float32(rate / (1 - 0.9 ** step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.999 ** step))) + np.float32(1e-8))
     return flat
 
 
-def train_round(learn: DataFrame, shape: Shape, flat: np.ndarray, shard: int = SHARD) -> DataFrame:
-    """(k, w, n): weight k after a pass over every row of ``learn``, averaged over shards by their n tokens."""
-    at = learn.sparkSession.sparkContext.broadcast((shape, flat))
+def train_round(learn: DataFrame, shape: Shape, flat: np.ndarray, shard: int = SHARD, tokens: int | None = None) -> DataFrame:
+    """(k, w, n): weight k after a pass over every row of ``learn``, averaged over shards by their n tokens.
+
+    ``tokens``: tokens of ``learn``, where they have been counted already. A row's shard follows from a hash of all
+    its columns, so copies under several ids spread; of rows alike in every column a task holds two shards' tokens at most.
+    """
+    head, size = shape.counts, shape.size
+    at = learn.sparkSession.sparkContext.broadcast((head, flat))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = Shape(at.value[0])
+        end = shape.head.get(END, len(shape.head))
+        for batch in batches:
+            key, part, before, codes = [], [], [], []
+            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                symbols = shape.code(_words(text) + [END]).astype(np.int16)
+                for i in range(0, len(symbols), PART):
+                    key.append(k)
+                    part.append(i // PART)
+                    before.append(int(symbols[i - 1]) if i else end)
+                    codes.append(symbols[i:i + PART].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(before, pa.int32()),
+                                              pa.array(codes, pa.binary())], names=["key", "part", "before", "codes"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, flat = at.value
-        total, tokens, docs, held = np.zeros(len(flat)), 0, [], 0
+        shape, flat = Shape(at.value[0]), at.value[1]
+        total, tokens, held, now = np.zeros(size), 0, 0, None
+        docs: list[np.ndarray] = []
+        follows: list[int] = []
 
         def close() -> None:
             nonlocal tokens, held
-            total[:] += train(shape, flat, docs).astype(np.float64) * held
+            if held:
+                total[:] += train(shape, flat, docs, follows).astype(np.float64) * held
             tokens += held
             docs.clear()
+            follows.clear()
             held = 0
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                docs.append(shape.code(_words(text) + [END]))
-                held += len(docs[-1])
-                if held >= shard:
+            for b, before, codes in zip(*(batch.column(c).to_pylist() for c in ("shard", "before", "codes"))):
+                if b != now or held >= 2 * shard:
                     close()
-        if held:
-            close()
+                    now = b
+                docs.append(np.frombuffer(codes, np.int16).astype(np.int64))
+                follows.append(before)
+                held += len(docs[-1])
+        close()
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(total, pa.float64()),
-                                              pa.array(np.full(len(flat), tokens), pa.int64())], names=["k", "w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total, pa.float64()),
+                                              pa.array(np.full(size, tokens), pa.int64())], names=["k", "w", "n"])
 
-    sums = learn.select("text").mapInArrow(fit, "k int, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    return sums.select("k", (F.col("w") / F.col("n")).alias("w"), "n")
+    rows = learn.select(F.xxhash64(*learn.columns).alias("key"), "text")
+    parts = rows.mapInArrow(cut, "key long, part int, before int, codes binary")
+    if tokens is None:
+        tokens = parts.agg(F.sum(F.octet_length("codes") / 2)).first()[0] or 0
+    shards = max(1, -(-int(tokens) // shard))
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)))
+    parts = parts.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "key", "part", "codes", "before")
+    sums = parts.select("shard", "before", "codes").mapInArrow(fit, "k int, w double, n long")
+    return sums.groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"), F.sum("n").alias("n"))
 
 
 def score(shape: Shape, p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
@@ -327,17 +376,18 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
     flat = shape.start(head, stat[:, 0])
     if whole:
         for _ in range(ROUNDS):
-            mean = train_round(learn, shape, flat).toPandas()       # the model's size
+            mean = train_round(learn, shape, flat, SHARD, int(whole)).toPandas()       # the model's size
             flat = flat.copy()
             flat[mean["k"].to_numpy()] = mean["w"].to_numpy()
 
-    model = spark.sparkContext.broadcast((shape, flat, known, stat, discount, unseen, seen))
+    model = spark.sparkContext.broadcast((head, flat, known, stat, discount))
     out_schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()),
                             ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        shape, flat, known, stat, discount, unseen, seen = model.value
+        head, flat, known, stat, discount = model.value
+        shape = Shape(head)
         p, rid = shape.split(flat), TaskContext.get().partitionId() << 33
         # of every known word: its symbol, log10 of the base count, log10 probability inside its class
         number = {w: i for i, w in enumerate(known)}

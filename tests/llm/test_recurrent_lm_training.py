@@ -25,3 +25,26 @@ def test_no_training_document_is_left_out(spark, monkeypatch):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("repeat('some words here ', 300)").alias("text"))
     assert lm.score_documents(docs, F.expr("doc_id % 5 <> 1")).count() == 2000
     assert seen == [1600] * lm.ROUNDS
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in other partitions and another order, over several shards: the same scores."""
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rule = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    one, other = (
+        {r.doc_id: r.score for r in lm.score_documents(d, rule).collect()}
+        for d in (docs.coalesce(1), docs.repartition(7, F.rand(3))))
+    assert one.keys() == other.keys() and len(one) == docs.count()
+    assert max(abs(one[k] - other[k]) / abs(one[k]) for k in one) < 1e-6
+
+
+def test_parts_of_a_document_follow_each_other():
+    """A document in parts is the same stream, so training on it differs only where states start anew."""
+    head = [(lm.END, 50), (b"a", 40), (b"b", 30)]
+    shape = lm.Shape(head)
+    flat = shape.start(head, np.ones(lm.TAIL))
+    doc = np.random.default_rng(0).integers(0, 3, 3000)
+    whole = lm.train(shape, flat, [doc], [0])
+    parts = lm.train(shape, flat, [doc[:1000], doc[1000:]], [0, int(doc[999])])
+    assert np.isfinite(parts).all() and np.abs(whole - parts).max() < 0.5 and not np.allclose(parts, flat)
