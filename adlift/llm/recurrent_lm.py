@@ -39,11 +39,13 @@ HEAD = 2000
 TAIL = 16
 HIDDEN = 16
 WINDOW = 32
-LANES = 128
+LANES = 512
 ROUNDS = 1
+ROWS = 512               # states whose class softmax is computed at once
 DICT = 200_000
-SHARD = 1 << 20          # tokens of a shard, on average
+SHARD = 1 << 22          # tokens of a shard, on average
 PART = 4096              # most symbols of a document in one part
+GROUP = 1 << 21          # least tokens scored together, but for a task's last
 TASKS = 8192             # most tasks of a round; shards beyond follow each other in a task
 END = b""                # the end token; no word is empty
 
@@ -76,7 +78,7 @@ class Shape:
         self.counts = head
         self.head = {w: i for i, (w, _) in enumerate(head)}
         root = np.sqrt([n for _, n in head]) if head else np.empty(0)
-        groups = max(1, int(len(head) ** 0.5))
+        groups = max(1, int(0.6 * len(head) ** 0.5))
         self.word_class = np.minimum((np.cumsum(root) / max(root.sum(), 1e-9) * groups).astype(int), groups - 1)
         self.word_class = np.unique(self.word_class, return_inverse=True)[1].ravel()
         self.classes = int(self.word_class.max()) + 1 if len(head) else 0
@@ -117,29 +119,40 @@ class Shape:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    x = np.exp(np.minimum(-x, np.float32(80)))
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _cell(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(new state, gates z and r, candidate) of one step; xw: the input's share of the three sums."""
-    n = h.shape[1]
-    hw = h @ wh
-    zr = _sigmoid(xw[:, :2 * n] + hw[:, :2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(xw[:, 2 * n:] + r * hw[:, 2 * n:])
-    return c + z * (h - c), zr, c, hw[:, 2 * n:]
+def _step(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(new state, gates z and r, candidate, its recurrent share) of one step of all lanes, a lane per column, so that each
+    gate is one stretch of memory; xw: the input's share of the three sums, wh: the recurrent weights, transposed."""
+    n = len(h)
+    hw = wh @ h
+    zr = _sigmoid(xw[:2 * n] + hw[:2 * n])
+    z, r, hc = zr[:n], zr[n:], hw[2 * n:]
+    c = _sigmoid(2 * (xw[2 * n:] + r * hc))       # tanh, by the faster exponential
+    c *= 2
+    c -= 1
+    return c + z * (h - c), zr, c, hc
+
+
+def _cell(xw: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_step`` with a lane per row."""
+    return tuple(x.T for x in _step(xw.T, h.T, wh.T))
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray, share: float | None) -> np.ndarray:
-    """Log softmax of column ``at`` of each row. With ``share``, x becomes the gradient of -share times their sum."""
-    rows = np.arange(len(at))
-    x -= x.max(axis=1, keepdims=True)
-    out = x[rows, at]
+    """Log softmax of row ``at`` of each column (long columns keep the sums in vector registers). With ``share``, x becomes
+    the gradient of -share times their sum."""
+    columns = np.arange(len(at))
+    x -= x.max(axis=0)
+    out = x[at, columns]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x.sum(axis=0)
     if share is not None:
-        x *= (share / total)[:, None]
-        x[rows, at] -= share
+        x *= share / total
+        x[at, columns] -= share
     return out - np.log(total)
 
 
@@ -148,30 +161,41 @@ def log_probabilities(shape: Shape, p: dict[str, np.ndarray], h: np.ndarray, tar
     """Natural log probability of each target symbol given its state; with ``grad``, adds the output gradients of
     the mean loss there and returns the states' gradient."""
     kind = shape.symbol_class(target)
-    share = np.float32(1 / max(len(target), 1)) if grad is not None else None
-    d = h @ p["wc"]
-    d += p["bc"]
-    out, dh = _log_softmax_at(d, kind, share).astype(np.float64), None
-    if grad is not None:
-        grad["wc"] += h.T @ d
-        grad["bc"] += d.sum(axis=0)
-        dh = d @ p["wc"].T
     order = np.argsort(kind.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(shape.classes + 1))
-    sorted_h, sorted_target = h[order], target[order]
+    kind, goal, states = kind[order], target[order], h[order]
+    bounds = np.searchsorted(kind, np.arange(shape.classes + 1))
+    share = np.float32(1 / max(len(target), 1)) if grad is not None else None
+    value, dh = np.empty(len(target), np.float32), np.empty_like(states) if grad is not None else None
+    for i in range(0, len(target), ROWS):         # as much as the cache holds
+        mine = states[i:i + ROWS]
+        d = p["wc"].T @ mine.T
+        d += p["bc"][:, None]
+        value[i:i + ROWS] = _log_softmax_at(d, kind[i:i + ROWS], share)
+        if grad is not None:
+            grad["wc"] += (d @ mine).T
+            grad["bc"] += d.sum(axis=1)
+            dh[i:i + ROWS] = (p["wc"] @ d).T
     for c in range(shape.classes):
         i, j = bounds[c], bounds[c + 1]
         if i == j:
             continue
         lo, hi = shape.first[c], shape.first[c + 1]
-        mine = sorted_h[i:j]
-        d = mine @ p["wo"][lo:hi].T
-        d += p["bo"][lo:hi]
-        out[order[i:j]] += _log_softmax_at(d, sorted_target[i:j] - lo, share)
+        if hi == lo + 1:
+            continue                              # the class is its only word
+        mine, weights = states[i:j], p["wo"][lo:hi]
+        d = weights @ mine.T
+        d += p["bo"][lo:hi, None]
+        value[i:j] += _log_softmax_at(d, goal[i:j] - lo, share)
         if grad is not None:
-            grad["wo"][lo:hi] += d.T @ mine
-            grad["bo"][lo:hi] += d.sum(axis=0)
-            dh[order[i:j]] += d @ p["wo"][lo:hi]
+            grad["wo"][lo:hi] += d @ mine
+            grad["bo"][lo:hi] += d.sum(axis=1)
+            dh[i:j] += (weights.T @ d).T
+    out = np.empty(len(target))
+    out[order] = value
+    if grad is not None:
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back
     return out, dh
 
 
@@ -179,56 +203,54 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], before: list[i
     """One pass of truncated backpropagation (Adam) over documents, or parts that follow the symbols ``before``. They
     stand one after the other in lanes of equal length; states start anew with each of them."""
     end = shape.head.get(END, len(shape.head))
-    stream = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    stream = np.concatenate(docs).astype(np.int16) if docs else np.empty(0, np.int16)
     lanes = int(np.clip(len(stream) // (64 * WINDOW), 8, LANES))      # small shards: fewer lanes, not fewer steps
     steps = -(-len(stream) // lanes)
     first = np.cumsum([0] + [len(d) for d in docs])[:-1]
-    target = np.full(lanes * steps, -1, dtype=np.int64)
+    target = np.full(lanes * steps, -1, dtype=np.int16)
     target[:len(stream)] = stream
-    source = np.maximum(np.concatenate(([end], target[:-1])), 0)[:lanes * steps]
+    source = np.maximum(np.concatenate((np.array([end], np.int16), target[:-1])), 0)[:lanes * steps]
     fresh = np.zeros(lanes * steps, dtype=bool)
     fresh[first], source[first] = True, end if before is None else before
     # a row per step
     target, source, fresh = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in (target, source, fresh))
-    go_on = (~fresh).astype(np.float32)[:, :, None]
     flat = flat.copy()
     p, m, v = shape.split(flat), np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((lanes, HIDDEN), dtype=np.float32)
+    h, k = np.zeros((HIDDEN, lanes), dtype=np.float32), HIDDEN
     for step, t0 in enumerate(range(0, steps, WINDOW), 1):
         g = np.zeros_like(flat)
         grad = shape.split(g)
-        src, n = source[t0:t0 + WINDOW], min(steps - t0, WINDOW)
-        xw = (p["emb"] @ p["wx"] + p["b"])[src]
-        kept, states = [], np.empty((n, lanes, HIDDEN), dtype=np.float32)
+        src, n = source[t0:t0 + WINDOW].astype(np.int64), min(steps - t0, WINDOW)
+        go_on = (~fresh[t0:t0 + WINDOW]).astype(np.float32)
+        table, wh = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T), np.ascontiguousarray(p["wh"].T)
+        kept, states = [], np.empty((n, HIDDEN, lanes), dtype=np.float32)
         for t in range(n):
-            start = h * go_on[t0 + t]
-            h, zr, c, hc = _cell(xw[t], start, p["wh"])
+            start = h * go_on[t]
+            h, zr, c, hc = _step(table.take(src[t], axis=1), start, wh)
             kept.append((start, zr, c, hc))
             states[t] = h
-        goal = target[t0:t0 + WINDOW].ravel()
+        goal = target[t0:t0 + WINDOW].ravel().astype(np.int64)
         mask = goal >= 0
-        states = states.reshape(-1, HIDDEN)
+        states = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
         dstate = np.zeros_like(states)
         _, dstate[mask] = log_probabilities(shape, p, states[mask], goal[mask], grad)
-        dstate = dstate.reshape(n, lanes, HIDDEN)
+        dstate = np.ascontiguousarray(dstate.reshape(n, lanes, HIDDEN).transpose(0, 2, 1))
         dh = np.zeros_like(h)
-        dx, back = np.empty((n, lanes, 3 * HIDDEN), np.float32), np.empty((n, lanes, 3 * HIDDEN), np.float32)
-        wh = np.ascontiguousarray(p["wh"].T)
+        dx, back = np.empty((n, 3 * k, lanes), np.float32), np.empty((3 * k, lanes), np.float32)
         for i in range(n - 1, -1, -1):
             start, zr, c, hc = kept[i]
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            dh = dh + dstate[i]
-            gate = dh * (start - c)
+            z, d = zr[:k], dx[i]
+            dh += dstate[i]
             dc = dh * (1 - z) * (1 - c * c)
-            dx[i, :, :HIDDEN] = gate
-            dx[i, :, HIDDEN:2 * HIDDEN] = dc * hc
-            dx[i, :, :2 * HIDDEN] *= zr * (1 - zr)
-            dx[i, :, 2 * HIDDEN:] = dc
-            back[i, :, :2 * HIDDEN] = dx[i, :, :2 * HIDDEN]
-            back[i, :, 2 * HIDDEN:] = dc * r
-            dh = (dh * z + back[i] @ wh) * go_on[t0 + i]
-        grad["wh"] += np.concatenate([k[0] for k in kept]).T @ back.reshape(-1, 3 * HIDDEN)
-        dx, src = dx.reshape(-1, 3 * HIDDEN), src.ravel()
+            d[:k] = dh * (start - c)
+            d[k:2 * k] = dc * hc
+            d[:2 * k] *= zr * (1 - zr)
+            d[2 * k:] = dc
+            back[:2 * k] = d[:2 * k]
+            back[2 * k:] = dc * zr[k:]
+            grad["wh"] += start @ back.T
+            dh = (dh * z + p["wh"] @ back) * go_on[i]
+        dx, src = dx.transpose(0, 2, 1).reshape(-1, 3 * k), src.ravel()
         grad["wx"] += p["emb"][src].T @ dx
         grad["b"] += dx.sum(axis=0)
         order = np.argsort(src.astype(np.int16), kind="stable")
@@ -285,7 +307,7 @@ def train_round(learn: DataFrame, shape: Shape, flat: np.ndarray, shard: int = S
                 if b != now or held >= 2 * shard:
                     close()
                     now = b
-                docs.append(np.frombuffer(codes, np.int16).astype(np.int64))
+                docs.append(np.frombuffer(codes, np.int16))
                 follows.append(before)
                 held += len(docs[-1])
         close()
@@ -308,10 +330,10 @@ def score(shape: Shape, p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.
     """Natural log probability of each whole symbol sequence; the state is carried from window to window."""
     end = shape.head.get(END, len(shape.head))
     total = np.zeros(len(docs))
-    table = p["emb"] @ p["wx"] + p["b"]
+    table, wh = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T), np.ascontiguousarray(p["wh"].T)
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     length = np.array([len(docs[i]) for i in order])
-    h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
+    h = np.zeros((HIDDEN, len(docs)), dtype=np.float32)
     last = np.full(len(docs), end)
     for t0 in range(0, int(length[0]) if len(docs) else 0, WINDOW):
         k = int((length > t0).sum())
@@ -319,15 +341,15 @@ def score(shape: Shape, p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.
         for i in range(k):
             part = docs[order[i]][t0:t0 + WINDOW]
             target[i, :len(part)] = part
-        source = np.concatenate((last[:k, None], np.maximum(target[:, :-1], 0)), axis=1)
-        h, states = h[:k], np.empty((WINDOW, k, HIDDEN), dtype=np.float32)
+        source = np.ascontiguousarray(np.concatenate((last[:k, None], np.maximum(target[:, :-1], 0)), axis=1).T)
+        h, states = h[:, :k], np.empty((WINDOW, HIDDEN, k), dtype=np.float32)
         for t in range(WINDOW):
-            h = _cell(table[source[:, t]], h, p["wh"])[0]
+            h = _step(table.take(source[t], axis=1), h, wh)[0]
             states[t] = h
         last = np.maximum(target[:, -1], 0)
         flat = target.T.ravel()
         mask = flat >= 0
-        value, _ = log_probabilities(shape, p, states.reshape(-1, HIDDEN)[mask], flat[mask])
+        value, _ = log_probabilities(shape, p, states.transpose(0, 2, 1).reshape(-1, HIDDEN)[mask], flat[mask])
         total[:k] += np.bincount(np.tile(np.arange(k), WINDOW)[mask], value, k)
     out = np.empty(len(docs))
     out[order] = total
@@ -397,13 +419,29 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
         inside = np.where(symbol < len(shape.head), 0.0, np.log10(np.maximum(count - discount[group], 1e-9) / np.maximum(stat[group, 0], 1)))
         base = np.log10(count + 0.5)
         get = number.get
+        codes, rare, part, sums, ids, held, tokens = [], [], [], [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal rid, tokens
+            value = score(shape, p, codes) / np.log(10) + np.array(part)
+            n = np.array([len(x) for x in codes], dtype=np.int64)
+            miss = np.array([len(x) for x in rare], dtype=np.int64)
+            out = pa.RecordBatch.from_arrays([
+                pa.array(rid + np.arange(len(n)), pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()),
+                pa.array(n, pa.int64()), pa.array(n - miss, pa.int64()), pa.array(sums, pa.float64()), pa.array(value, pa.float64()),
+                pa.array(rare, pa.list_(pa.binary()))], schema=out_schema)
+            rid += len(n)
+            tokens = 0
+            for x in (codes, rare, part, sums, ids, held):
+                x.clear()
+            return out
+
         for batch in batches:
-            lists = [_words(t) + [END] for t in batch.column("text").to_pylist()]
-            codes, rare, part, sums = [], [], [], []
-            for words in lists:
+            for doc_id, learn, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "text"))):
+                words = _words(text) + [END]
                 at = np.array([get(w, -1) for w in words], dtype=np.int64)
                 other = np.flatnonzero(at < 0)
-                sym = symbol[at]
+                sym = symbol[at].astype(np.int16)
                 mine = [words[i] for i in other]
                 sym[other] = [len(shape.head) + tail_class(w) for w in mine]
                 codes.append(sym)
@@ -411,14 +449,13 @@ def score_documents(docs: DataFrame, training, *, id_col: str = "doc_id", text_c
                 known_at = at[at >= 0]
                 part.append(inside[known_at].sum())
                 sums.append(base[known_at].sum())
-            value = score(shape, p, codes) / np.log(10) + np.array(part)
-            n = np.array([len(x) for x in lists])
-            miss = np.array([len(x) for x in rare])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rid + np.arange(len(lists)), pa.int64()), batch.column("doc_id"), batch.column("learn"),
-                pa.array(n, pa.int64()), pa.array(n - miss, pa.int64()), pa.array(sums, pa.float64()), pa.array(value, pa.float64()),
-                pa.array(rare, pa.list_(pa.binary()))], schema=out_schema)
-            rid += len(lists)
+                ids.append(doc_id)
+                held.append(learn)
+                tokens += len(sym)
+                if tokens >= GROUP:
+                    yield close()
+        if codes:
+            yield close()
 
     done = written(docs.mapInArrow(run, "rid long, doc_id long, learn boolean, n_tokens long, n_known long, base double, "
                                         "score double, rare array<binary>"), "scored")
