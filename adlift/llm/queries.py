@@ -101,7 +101,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    # a null id has no crc32: it is not held out, and learnt from
+    held = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), F.lit(False))
     out = predict_language(docs, learn(docs.where(~held)))
     return out.withColumn("held_out", held)
 

@@ -43,3 +43,12 @@ def test_odd_rows(spark):
     none = learn(df.limit(0))
     assert none[0] == [] and {r.lang_pred for r in predict_language(df, none).collect()} == {"und"}
     assert predict_language(df.limit(0), model, carry=True).count() == 0
+
+
+def test_query_takes_null_ids_as_training(spark, tmp_path):
+    from adlift.llm.queries import op10_language_id
+    rows = [(None if i % 5 == 0 else i, t, lang) for i in range(40) for t, lang in (("the cat and the dog", "en"), ("le chat et le chien", "fr"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and all(r.held_out is not None for r in got)
+    assert all(not r.held_out for r in got if r.doc_id is None)
