@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from adlift.session import written
+
 
 def _splits(df: DataFrame, col: str, bins: int, rel_err: float) -> list[float]:
     probs = [i / bins for i in range(1, bins)]
@@ -43,7 +45,7 @@ def rank_offsets(df: DataFrame, col: str, descending: bool = False, bins: int |
     keyed = df.where(F.col(col).isNotNull()).select(*by, F.col(col), (-v if descending else v).alias("_k"),
                                                     *[c.alias(n) for n, c in sums.items()])
     distinct = keyed.groupBy(*by, col, "_k").agg(F.count(F.lit(1)).alias("n_at"), *[F.sum(n).alias(n) for n in sums])
-    distinct = distinct.checkpoint()    # ``df`` is read once, whatever it is made of
+    distinct = written(distinct, "distinct")    # ``df`` is read once, whatever it is made of
     splits = _splits(distinct, "_k", bins, rel_err)
     b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(distinct)
     names = ["n_at", *sums]
@@ -152,7 +154,7 @@ def exact_medians(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     """One row with the exact median of every column (alias by column in ``cols``), null without values. The columns are
     written once and their middle values selected together; a median aggregate would keep a counter per distinct value
     in one task."""
-    slim = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    slim = written(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "medians")
     middle = order_statistics(slim, {c: lambda n: [(n - 1) // 2, n // 2] for c in cols})
     return df.sparkSession.range(1).select(*[
         F.lit(middle[c][0].value * 0.5 + middle[c][-1].value * 0.5 if middle[c] else None).cast("double").alias(alias)

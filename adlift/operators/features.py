@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -119,39 +120,63 @@ def feature_names(model) -> list[str]:
     return names + ["ord__income_band"]
 
 
-def class_rank(df: DataFrame, label: str, keys: list[str], seed: int = 42, cells: int = 1 << 16) -> DataFrame:
-    """``df`` with _rank, each row's place (from 1) in its class by key hash, and _size, its class's rows.
+def _in_cells(df: DataFrame, classes: list[str], keys: list[str], seed: int, cells: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with _h, a hash of the keys, and _cell, its range of ``cells`` equal ones; and a table of the rows of each class
+    and range: _class0.., _at, _n, the rows before it in the class (_before) and the rows of the class (_size)."""
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    marked = df.withColumn("_h", hash_number(key, seed)).withColumn("_cell", F.floor(F.col("_h") / (2 ** 32 // cells)))
+    names = [f"_class{i}" for i in range(len(classes))]
+    sizes = marked.groupBy(*[F.col(c).alias(n) for c, n in zip(classes, names, strict=True)], F.col("_cell").alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_at")
+    sizes = sizes.select(*names, "_at", "_n", (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+                         F.sum("_n").over(Window.partitionBy(*names)).alias("_size"))
+    return marked, sizes
+
+
+def _alike(classes: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_class{i}")) for i, c in enumerate(classes)])
+
+
+def class_rank(df: DataFrame, label: str, keys: list[str], seed: int = 42, cells: int = 1 << 14, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with _rank, each row's place (from 1) in its class by key hash, and _size, its class's rows; a class is
+    the rows alike in ``by`` and ``label``.
 
     The hashes are cut into ``cells`` equal ranges; counts of the ranges before
     come from that bounded table, and only rows of one range are sorted
     together, so no class is sorted in one task.
     """
-    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
-    marked = df.withColumn("_h", hash_number(key, seed)).withColumn("_cell", F.floor(F.col("_h") / (2 ** 32 // cells)))
-    sizes = marked.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_at")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_label").orderBy("_at")
-    sizes = sizes.select("_label", "_at", (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
-                         F.sum("_n").over(Window.partitionBy("_label")).alias("_size"))
-    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_at"))
-    inside = Window.partitionBy(label, "_cell").orderBy("_h", *keys)
-    return (marked.join(sizes, same).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-            .drop("_h", "_cell", "_label", "_at", "_before"))
+    classes = [*by, label]
+    marked, sizes = _in_cells(df, classes, keys, seed, cells)
+    inside = Window.partitionBy(*classes, "_cell").orderBy("_h", *keys)
+    ranked = marked.join(F.broadcast(sizes), _alike(classes) & (F.col("_cell") == F.col("_at")))     # classes x cells
+    return (ranked.withColumn("_rank", F.col("_before") + F.row_number().over(inside))
+            .drop("_h", "_cell", "_at", "_n", "_before", *[f"_class{i}" for i in range(len(classes))]))
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_share: float = 0.2, seed: int = 42,
-                     keys: list[str] | None = None) -> DataFrame:
-    """Deterministic split with an exact quota per class: the first round(share * rows) rows of a
-    class, by key hash, are the test rows."""
+                     keys: list[str] | None = None, by: tuple[str, ...] = (), cells: int = 1 << 14) -> DataFrame:
+    """Deterministic split with an exact quota per class (the rows alike in ``by`` and ``label``): the first
+    round(share * rows) rows of a class, by key hash, are the test rows. Counts of hash ranges tell in which range the
+    quota ends; only its rows are ranked, the others are told by their range. ``df`` is read three times."""
     require_columns(df, [label], "split input")
     keys = keys or [c for c in ("customer_id", "campaign_id") if c in df.columns]
-    ranked = class_rank(df, label, keys, seed)
+    classes = [*by, label]
+    marked, sizes = _in_cells(df, classes, keys, seed, cells)
+    names = [f"_class{i}" for i in range(len(classes))]
     quota = F.floor(F.col("_size") * test_share + 0.5)
-    return ranked.withColumn("split", F.when(F.col("_rank") <= quota, "test").otherwise("train")).drop("_rank", "_size")
+    ends = sizes.where((F.col("_before") < quota) & (quota <= F.col("_before") + F.col("_n")))
+    ends = ends.select(*names, F.col("_at").alias("_end"), (quota - F.col("_before")).alias("_take"))     # a row a class
+    rows = marked.join(F.broadcast(ends), _alike(classes), "left")
+    at_end = F.coalesce(F.col("_cell") == F.col("_end"), F.lit(False))
+    clear = rows.where(~at_end).withColumn("_test", F.col("_cell") < F.col("_end"))
+    ranked = rows.where(at_end).withColumn("_test", F.row_number().over(Window.partitionBy(*classes).orderBy("_h", *keys)) <= F.col("_take"))
+    return (clear.unionByName(ranked).withColumn("split", F.when(F.col("_test"), "test").otherwise("train"))
+            .drop("_h", "_cell", "_end", "_take", "_test", *names))
 
 
 def stratified_folds(df: DataFrame, folds: int, label: str = "label", seed: int = 42,
-                     keys: list[str] | None = None) -> DataFrame:
+                     keys: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``_fold`` from 0; the rows of a class are dealt to the folds in turn, by key hash."""
     keys = keys or [c for c in ("customer_id", "campaign_id") if c in df.columns]
-    ranked = class_rank(df, label, keys, seed)
+    ranked = class_rank(df, label, keys, seed, by=by)
     return ranked.withColumn("_fold", F.pmod(F.col("_rank"), F.lit(folds)).cast("int")).drop("_rank", "_size")

@@ -77,13 +77,12 @@ def _moments(frame: DataFrame, keys: list[Key]) -> dict[Key, tuple[float, float,
 
 
 def _arrays(batch: pa.RecordBatch, levels: dict[str, list[str]]) -> tuple[np.ndarray, ...]:
-    """Numbers as they are, the other inputs with a last column of ones, labels, groups, and folds (NaN for null)."""
-    at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    raw = np.column_stack([at[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in NUMERIC])
-    hot = [np.array(at[c].to_pylist(), dtype=object)[:, None] == np.array(levels[c], dtype=object)[None, :] for c in NOMINAL]
-    rest = np.column_stack([*hot, at["_income_ord"].to_numpy(zero_copy_only=False), np.ones(len(raw))]).astype(float)
-    return (raw, rest, at["label"].to_numpy(zero_copy_only=False).astype(float), np.array(at["_group"].to_pylist(), dtype=object),
-            at["_fold"].cast(pa.float64()).to_numpy(zero_copy_only=False))
+    """Numbers as they are, the other inputs with a last column of ones, labels, group numbers, and folds (NaN for null)."""
+    at = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name != "_group"}
+    raw = np.column_stack([at[c] for c in NUMERIC])
+    hot = [at[c][:, None] == np.arange(len(levels[c])) for c in NOMINAL]
+    rest = np.column_stack([*hot, at["_income_ord"], np.ones(len(raw))]).astype(float)
+    return raw, rest, at["label"].astype(float), at["_number"], at["_fold"].astype(float)
 
 
 def _design(model: Logistic, raw: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -92,27 +91,31 @@ def _design(model: Logistic, raw: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 def held_out_scores(frame: DataFrame, models: dict[Key, Logistic]) -> DataFrame:
     """_group, _fold, label, score: each row by the model that left its fold out, rows without a fold by the whole model."""
-    levels = next(iter(models.values())).levels
+    levels, groups = next(iter(models.values())).levels, sorted({g for g, _ in models})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, rest, _, group, fold = _arrays(batch, levels)
             out = np.full(len(raw), np.nan)
             for (g, without), own in models.items():
-                rows = np.flatnonzero((group == g) & (np.isnan(fold) if without is None else fold == without))
+                rows = np.flatnonzero((group == groups.index(g)) & (np.isnan(fold) if without is None else fold == without))
                 eta = _design(own, raw[rows], rest[rows]) @ np.array([*own.coefficients, own.intercept])
                 out[rows] = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("_group", "_fold", "label")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, mask=np.isnan(out))], names=["_group", "_fold", "label", "score"])
-    return _inputs(frame).mapInArrow(score, "_group string, _fold int, label double, score double")
+    return _inputs(frame, levels, groups, "_group").mapInArrow(score, "_group string, _fold int, label double, score double")
 
 
-def _inputs(frame: DataFrame) -> DataFrame:
-    return frame.select("_group", "_fold", F.col("label").cast("double").alias("label"), *NUMERIC, *NOMINAL,
-                        F.col("_income_ord").cast("double").alias("_income_ord"))
+def _inputs(frame: DataFrame, levels: dict[str, list[str]], groups: list[str], *more: str) -> DataFrame:
+    """Numbers only, so that Arrow columns are numpy arrays: groups (as _number) and levels by their place, -1 for none."""
+    def place(c: str, values: list[str]) -> Column:
+        return F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0)) - 1 if values else F.lit(-1)
+    doubles = [F.col(c).cast("double").alias(c) for c in (*NUMERIC, "label", "_income_ord")]
+    return frame.select(*more, place("_group", groups).cast("int").alias("_number"), "_fold", *doubles,
+                        *[place(c, levels[c]).cast("int").alias(c) for c in NOMINAL])
 
 
-def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tuple[float, float]]) -> dict[Key, tuple[float, np.ndarray, np.ndarray]]:
+def _step(frame: DataFrame, groups: list[str], models: dict[Key, Logistic], weights: dict[Key, tuple[float, float]]) -> dict[Key, tuple[float, np.ndarray, np.ndarray]]:
     """Weighted loss, gradient and Hessian sums of every model at its coefficients: one pass, summed by model and entry."""
     order = list(models)
     first = models[order[0]]
@@ -124,7 +127,7 @@ def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tupl
         for batch in batches:
             raw, rest, y, group, fold = _arrays(batch, first.levels)
             for m, key in enumerate(order):
-                rows = np.flatnonzero((group == key[0]) & (True if key[1] is None else fold != key[1]))
+                rows = np.flatnonzero((group == groups.index(key[0])) & (True if key[1] is None else fold != key[1]))
                 if not len(rows):
                     continue
                 own, yy = models[key], y[rows]
@@ -151,14 +154,20 @@ def _step(frame: DataFrame, models: dict[Key, Logistic], weights: dict[Key, tupl
     return out
 
 
-def fit_logistic(frame: DataFrame, keys: list[Key], c: float = 1.0, max_iter: int = 50, tol: float = 1e-9) -> dict[Key, Logistic]:
+def fit_logistic(frame: DataFrame, keys: list[Key], c: float = 1.0, max_iter: int = 50, tol: float = 1e-9,
+                 least: float = 1e-20) -> dict[Key, Logistic]:
     """Fits a model for every (group, left-out fold) on ``frame``: _group, _fold, label, the feature columns and
-    ``_income_ord``; it is read once a step, so pass a written table."""
-    frame = _inputs(frame)
+    ``_income_ord``; it is read once a step, so pass a written table.
+
+    A model is done when its step is below ``tol`` or can lower the objective by less than ``least``. The levels of a
+    nominal column add up to the intercept's ones, a direction that only the penalty holds; its curvature falls as
+    1 / n, and with millions of rows the rounding of the sums alone moves it by more than ``tol`` a step, for ever."""
     found = frame.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in NOMINAL]).first()     # the levels of fixed domains
     levels = {n: list(found[n]) for n in NOMINAL}
     size = len(NUMERIC) + sum(map(len, levels.values())) + 1
     moments = _moments(frame, keys)
+    groups = sorted({g for g, _ in keys})
+    frame = _inputs(frame, levels, groups)
     weights = {k: (n / (2 * p) if p else 0.0, n / (2 * (n - p)) if n > p else 0.0) for k, (n, p, _, _) in moments.items()}
     models = {k: Logistic(levels, m.tolist(), [1 / s if s > 0 else 0.0 for s in d], [0.0] * size, 0.0) for k, (_, _, m, d) in moments.items()}
     before = {k: (math.inf, None) for k in models}
@@ -167,17 +176,19 @@ def fit_logistic(frame: DataFrame, keys: list[Key], c: float = 1.0, max_iter: in
         todo = {k: m for k, m in models.items() if k not in done}
         if not todo:
             break
-        for k, (loss, gradient, hessian) in _step(frame, todo, weights).items():
+        for k, (loss, gradient, hessian) in _step(frame, groups, todo, weights).items():
             n, own = moments[k][0], models[k]
             at = np.array([*own.coefficients, own.intercept])
             penalty = np.append(np.full(size, 1 / (c * n)), 0.0)
             value = loss / n + (penalty * at * at).sum() / 2
             if value > before[k][0] + 1e-12:
-                new = (at + before[k][1]) / 2       # overshot: half way back
+                new, gain = (at + before[k][1]) / 2, math.inf       # overshot: half way back
             else:
-                new = at - np.linalg.solve(hessian / n + np.diag(penalty + 1e-14), gradient / n + penalty * at)
+                slope = gradient / n + penalty * at
+                move = np.linalg.solve(hessian / n + np.diag(penalty + 1e-14), slope)
+                new, gain = at - move, slope @ move / 2
                 before[k] = (value, at)
             models[k] = Logistic(levels, own.mean, own.scale, new[:-1].tolist(), float(new[-1]))
-            if np.abs(new - at).max() < tol:
+            if np.abs(new - at).max() < tol or not gain > least:     # not above: also where the inputs hold NaN
                 done[k] = models[k]
     return models

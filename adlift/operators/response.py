@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.functions.numeric import safe_div
-
+from adlift.functions.ranking import exact_medians
 from adlift.operators.curves import auc_of, precision_of, score_table
-from adlift.operators.features import (FEATURES, FeatureConstants, encoder_stages, fit_feature_constants,
-                                       stratified_folds, stratified_split, training_frame, with_ordinal)
+from adlift.operators.features import (FEATURES, FeatureConstants, encoder_stages, stratified_folds, stratified_split,
+                                       training_frame, with_ordinal)
 from adlift.operators.logistic import Logistic, fit_logistic, held_out_scores
+from adlift.session import written
 
 
 @dataclass
@@ -73,32 +74,58 @@ def with_probability(model: ResponseModel, df: DataFrame, name: str) -> DataFram
     return feats.select("_row.*", model.logistic.probability().alias(name))
 
 
+def model_inputs(df: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``df`` that a fit reads, and ``more``."""
+    names = {"customer_id", "campaign_id", *FEATURES, "converted", *more}
+    return df.select(*[c for c in df.columns if c in names])
+
+
+def _constants(groups: dict[str, DataFrame]) -> dict[str, FeatureConstants]:
+    """The feature constants of every group: median and maximum of historical_spend, all groups in the same passes."""
+    spend = reduce(DataFrame.unionByName, [df.select(*[
+        (F.col("historical_spend") if g == h else F.lit(None)).cast("double").alias(f"s{i}") for i, h in enumerate(groups)])
+        for g, df in groups.items()])
+    r = exact_medians(spend, {f"s{i}": f"m{i}" for i in range(len(groups))}).crossJoin(
+        spend.agg(*[F.max(f"s{i}").alias(f"x{i}") for i in range(len(groups))])).first()
+    return {g: FeatureConstants(float(r[f"m{i}"]), float(r[f"x{i}"])) for i, g in enumerate(groups)}
+
+
+def _dealt(rows: DataFrame, test_share: float, seed: int, folds: int) -> DataFrame:
+    """Features with _group and _fold, dealt within each group; test rows have no fold."""
+    frame = with_ordinal(stratified_split(rows, seed=seed, test_share=test_share, by=("_group",)))
+    inputs = ["label", *FEATURES, "_income_ord"]
+    if folds <= 1:
+        return frame.select("_group", F.when(F.col("split") == "train", 0).cast("int").alias("_fold"), *inputs)
+    frame = written(frame, "split")
+    train = stratified_folds(frame.where("split = 'train'"), folds, seed=seed + 1, by=("_group",))
+    test = frame.where("split = 'test'").withColumn("_fold", F.lit(None).cast("int"))
+    return train.unionByName(test).select("_group", "_fold", *inputs)
+
+
 def model_frame(df: DataFrame, constants: FeatureConstants, group: str, test_share: float, seed: int, folds: int) -> DataFrame:
     """The features of one group of rows with _group and _fold; test rows have no fold."""
-    frame = with_ordinal(stratified_split(training_frame(df, constants=constants), seed=seed, test_share=test_share))
-    train = frame.where(F.col("split") == "train")
-    train = stratified_folds(train, folds, seed=seed + 1) if folds > 1 else train.withColumn("_fold", F.lit(0))
-    test = frame.where(F.col("split") == "test").withColumn("_fold", F.lit(None).cast("int"))
-    return train.unionByName(test).select(F.lit(group).alias("_group"), "_fold", "label", *FEATURES, "_income_ord")
+    return _dealt(training_frame(df, constants=constants).withColumn("_group", F.lit(group)), test_share, seed, folds)
 
 
 def fit_responses(groups: dict[str, DataFrame], test_share: float = 0.2, seed: int = 42, folds: int = 5, c: float = 1.0,
                   max_iter: int = 1000) -> tuple[dict[str, ResponseModel], DataFrame]:
     """G5 + G7 + G8 + G9 for several groups of rows at once: a model a group on its training part, evaluated on its test
-    part, and k-fold AUC on the training part. All fits share their passes, and all curves one rank table. Returns the
-    models and a metrics row a group (model, roc_auc, avg_precision, cv_mean, cv_std, n_train, n_test)."""
-    constants = {g: fit_feature_constants(df) for g, df in groups.items()}
-    frames = [model_frame(df, constants[g], g, test_share, seed, folds) for g, df in groups.items()]
-    frame = reduce(DataFrame.unionByName, frames).checkpoint()      # read once a step
+    part, and k-fold AUC on the training part. All groups share one split, all fits their passes, and all curves one rank
+    table. The groups are read several times: pass written tables. Returns the models and a metrics row a group (model,
+    roc_auc, avg_precision, cv_mean, cv_std, n_train, n_test)."""
+    constants = _constants(groups)
+    rows = reduce(DataFrame.unionByName, [training_frame(df, constants=constants[g]).withColumn("_group", F.lit(g)) for g, df in groups.items()])
+    frame = written(_dealt(rows, test_share, seed, folds), "frame")      # read once a step
     keys = [(g, out) for g in groups for out in [None, *(range(folds) if folds > 1 else [])]]
     fitted = fit_logistic(frame.where("_fold is not null"), keys, c=c, max_iter=max_iter)
-    scored = held_out_scores(frame, fitted).withColumn("_fold", F.coalesce("_fold", F.lit(-1))).checkpoint()
+    held = frame if folds > 1 else frame.where("_fold is null")      # without folds only the test rows are held out
+    scored = held_out_scores(held, fitted).withColumn("_fold", F.coalesce("_fold", F.lit(-1)))
     by = ("_group", "_fold")
-    table = score_table(scored, by=by).checkpoint()
+    table = written(score_table(scored, by=by), "scores")
     auc = {(r["_group"], r["_fold"]): r["roc_auc"] for r in auc_of(table, by).collect()}
     ap = {r["_group"]: r["average_precision"] for r in precision_of(table.where("_fold = -1"), by).collect()}
-    sizes = {r["_group"]: r for r in scored.groupBy("_group").agg(
-        F.count_if(F.col("_fold") >= 0).alias("train"), F.count_if(F.col("_fold") < 0).alias("test")).collect()}
+    sizes = {r["_group"]: r for r in frame.groupBy("_group").agg(
+        F.count("_fold").alias("train"), F.count_if(F.col("_fold").isNull()).alias("test")).collect()}
     rows = []
     for g in groups:
         cv = [auc[g, k] for k in range(folds) if auc.get((g, k)) is not None] if folds > 1 else []
@@ -113,7 +140,7 @@ def fit_responses(groups: dict[str, DataFrame], test_share: float = 0.2, seed: i
 def fit_response(df: DataFrame, test_share: float = 0.2, seed: int = 42, folds: int = 5,
                  c: float = 1.0, max_iter: int = 1000) -> tuple[ResponseModel, DataFrame]:
     """``fit_responses`` for one group: the model and its metrics row."""
-    models, metrics = fit_responses({"all": df}, test_share, seed, folds, c, max_iter)
+    models, metrics = fit_responses({"all": written(model_inputs(df), "rows")}, test_share, seed, folds, c, max_iter)
     return models["all"], metrics.drop("model")
 
 

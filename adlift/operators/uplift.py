@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from adlift.functions.guards import require_columns
 from adlift.functions.ranking import exact_medians, top_n_rows
-from adlift.operators.response import ResponseModel, fit_responses, with_probability
+from adlift.operators.response import ResponseModel, fit_responses, model_inputs, with_probability
+from adlift.session import written
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +39,7 @@ class UpliftModels:
 def fit_uplift(df: DataFrame, seed: int = 42, folds: int = 5, max_iter: int = 1000) -> UpliftModels:
     """One response model on treated rows, one on control rows."""
     require_columns(df, ["treatment_group", "converted"], "uplift input")
+    df = written(model_inputs(df, "treatment_group"), "uplift")     # both arms and their sizes are read from it
     t = df.where(F.col("treatment_group") == 1)
     c = df.where(F.col("treatment_group") == 0)
     sizes = df.agg(F.count_if(F.col("treatment_group") == 1).alias("t"),
@@ -104,9 +106,9 @@ def compare_targeting(df: DataFrame, share: float = 0.3, mean_revenue: float | N
     key = key or [k for k in ("customer_id", "campaign_id") if k in df.columns]
     if mean_revenue is None and "revenue_generated" not in df.columns:
         raise ValueError("mean_revenue must be supplied when revenue_generated is absent.")
-    # the scores are read several times below: checkpoint once (reliable, lineage cut)
+    # the scores are read several times below, a column or two at a time
     cols = [*key, "treatment_prob", "uplift_score"] + [c for c in ("converted", "revenue_generated") if c in df.columns]
-    df = df.select(*cols).checkpoint(eager=True)
+    df = written(df.select(*cols), "targeting")
     conv = F.col("converted") == 1 if "converted" in df.columns else F.lit(False)
     rev = F.col("revenue_generated").cast("double") if "revenue_generated" in df.columns else F.lit(None)
     r = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(conv, rev)).alias("c"), F.avg(rev).alias("a")).first()

@@ -19,7 +19,7 @@ from adlift.operators import attribution as A
 from adlift.functions.numeric import safe_div
 from adlift.operators import abtest, audience, budget, curves, features, journey, kpi, quality, roi, rollups
 from adlift.operators import response, report, sweep, uplift
-from adlift.session import scratch_path
+from adlift.session import scratch_path, written
 from adlift.sources import files
 from adlift.sources.mapped import campaign_tables
 
@@ -106,8 +106,8 @@ def _audience_sample(t):
 
 def _fitted_scores(t):
     """Every row with the probabilities of the two fitted models, written: the readers below pass over it several times."""
-    base = roi.modeling_base(t)
-    return uplift.score_uplift(uplift.fit_uplift(base, folds=0), base).checkpoint()
+    base = written(roi.modeling_base(t), "base")
+    return written(uplift.score_uplift(uplift.fit_uplift(base, folds=0), base), "scores")
 
 
 def _fitted_report(t):
