@@ -10,7 +10,7 @@ the expected tokens meet the budget: targets far from the corpus are then
 approached as far as the budget allows, and one scarce cell cannot shrink all others.
 
 The cells are few (one row a combination) and stay a DataFrame; each sweep is
-three grouped sums, checkpointed. Documents are scanned twice and shuffled once,
+three grouped sums, each checkpointed. Documents are scanned twice and shuffled once,
 as partial sums, never by a hot source: factors join back as broadcast only
 where Spark measures the cells as small.
 
@@ -63,26 +63,28 @@ def _targets(cells: DataFrame, dim: str, wanted: dict[str, float]) -> DataFrame:
         goal = F.when(F.col("value") == k, float(v)).otherwise(goal)
     tokens = tokens.withColumn("goal", goal)
     other = F.when(F.col("goal").isNull(), F.col("tokens"))
-    whole = tokens.agg(F.sum(other).alias("others"), F.sum("goal").alias("given"))
-    both = tokens.crossJoin(F.broadcast(whole))          # one row
-    goal = F.coalesce("goal", F.col("tokens") / F.col("others") * rest)
-    full = F.coalesce("given", F.lit(0.0)) + F.when(F.col("others").isNull(), 0.0).otherwise(rest)
-    return both.select("value", (goal / full).alias("goal"))
+    others, given = tokens.agg(F.sum(other), F.sum("goal")).first()
+    full = (given or 0.0) + (0.0 if others is None else rest)
+    goal = F.coalesce("goal", F.col("tokens") / F.lit(others).cast("long") * rest)
+    return tokens.select("value", (goal / F.lit(full)).alias("goal"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], *, sweeps: int = 8) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: the raked share of all tokens of each cell."""
+    """cells (source, lang, topic, tokens) with weight: the raked share of all tokens of each cell.
+
+    Every step starts from written cells: a step over the plan of the one before would hold that plan twice, and a sweep
+    each plan eight times."""
     cells = written(cells.where("tokens > 0"), "cells")
-    goals = {d: written(_targets(cells, d, targets.get(d, {})), f"goal-{d}") for d in DIMS}
-    whole = cells.agg(F.sum("tokens").alias("whole"))
-    now = cells.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("tokens") / F.col("whole")).drop("whole")
+    whole = cells.agg(F.sum("tokens")).first()[0]
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(whole).cast("long"))
+    for d in DIMS:
+        now = now.join(_targets(cells, d, targets.get(d, {})).toDF(d, f"{d}_goal"), d)
+    now = written(now, "goals")
     for _ in range(sweeps):
         for d in DIMS:
-            have = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("have"))
-            factor = have.join(goals[d], "value").select(F.col("value").alias(d), (F.col("goal") / F.col("have")).alias("f"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        now = written(now, "sweep")
-    return now
+            factor = now.groupBy(d).agg((F.max(f"{d}_goal") / F.sum("weight")).alias("f"))
+            now = written(now.join(factor, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f"), "step")
+    return now.drop(*[f"{d}_goal" for d in DIMS])
 
 
 def budget_scale(cells: DataFrame, budget: float) -> float:
@@ -120,8 +122,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]], *, budget
     cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
     raked = rake(cells, targets, sweeps=sweeps)
     ratio = F.col("weight") / F.col("tokens")
-    top = raked.agg(F.max(ratio).alias("top"))
-    probability = raked.crossJoin(F.broadcast(top)).select(*DIMS, "tokens", (ratio / F.col("top")).alias("probability"))
+    top = raked.agg(F.max(ratio)).first()[0]
+    probability = raked.select(*DIMS, "tokens", (ratio / F.lit(top).cast("double")).alias("probability"))
     scale = 1.0 if budget is None else budget_scale(probability, budget)
     probability = probability.select(*DIMS, F.least(F.col("probability") * scale, F.lit(1.0)).alias("probability"))
     out = rows.join(probability, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from adlift.llm import mixing
 from adlift.llm.mixing import mix_sources, rake
 from tests.llm.helpers import odd
 
@@ -48,3 +49,26 @@ def test_odd_rows(spark):
     assert mix_sources(df.limit(0), {"lang": {"en": 1.0}}).count() == 0
     assert mix_sources(df.limit(0), {"lang": {"en": 1.0}}, budget=0.5).count() == 0
     assert all(0 <= r.probability <= 1 for r in mix_sources(df, {"lang": {"en": 0.5}}, budget=0.9).collect())
+
+
+def test_no_step_holds_the_plan_of_the_one_before(spark, monkeypatch):
+    """Plans and broadcast tables of the sweeps fill the driver where every step repeats those before it."""
+    joins = []
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(df, name)
+    written = mixing.written
+    monkeypatch.setattr(mixing, "written", counted)
+    cells = spark.createDataFrame([(s, x, t, 10) for s in "ab" for x in "cd" for t in "ef"], "source string, lang string, topic string, tokens long")
+    raked = rake(cells, {"source": {"a": 0.3}, "lang": {"c": 0.6}, "topic": {"e": 0.9}}, sweeps=4)
+    assert len(joins) == 2 + 4 * 3 and max(joins[2:]) == 1 and joins[:2] == [0, 3]
+    got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+    assert abs(got["a", "c", "e"] - 0.3 * 0.6 * 0.9) < 1e-9 and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_a_sweep_of_missing_and_single_values(spark):
+    cells = spark.createDataFrame([("a", "", "p", 5), ("b", "", "p", 0)], "source string, lang string, topic string, tokens long")
+    (row,) = rake(cells, {"source": {"b": 0.9}, "lang": {"en": 0.5}}).collect()
+    assert (row.source, row.tokens, round(row.weight, 12)) == ("a", 5, 1.0)
+    assert rake(cells.limit(0), {"source": {"b": 0.9}}).collect() == []
